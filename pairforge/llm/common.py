@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -46,3 +47,13 @@ def n_words(text: Column) -> Column:
 def uniform(*of: Column) -> Column:
     """A number in [0, 1) that depends on nothing but the columns."""
     return F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") * (2.0**-53)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package; a cluster gets it like any other code, by --py-files."""
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    have = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+    return spark
