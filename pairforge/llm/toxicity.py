@@ -1,7 +1,7 @@
 """Toxic spans by a conditional random field, and documents' scores from its marginals.
 
 Labels are given for documents; the training words' labels come from them: a word of a toxic document is taken as toxic
-if it occurs in enough toxic documents and hardly in others. The field learns those words' affixes, n-grams, and how
+if it, or a beginning of it, occurs in toxic documents well beyond chance and hardly in others. The field learns those words' affixes, n-grams, and how
 toxic words follow one another, and gives every word of a text a marginal. A document's score is a calibrated function
 of the expected number of toxic words and of the largest marginal; runs of words above a marginal are its spans.
 
@@ -30,11 +30,14 @@ PER_CLASS = 1200
 CHARS = 6000
 FOLD = (4, 2)
 THRESHOLD = 0.3
-#: A toxic word: in so many of the sample's toxic documents (a share, and a number), and so seldom in the others.
-LEAST_SHARE, LEAST_DOCS, PRECISION = 0.01, 3, 0.9
+#: A toxic stem: in at least so many of the sample's toxic documents, at such a share of all documents that have it (were
+#: both kinds as frequent), and so many letters long unless it is a whole word.
+LEAST_DOCS, PRECISION, STEM = 4, 0.9, 5
 #: Words around a toxic word that the field is trained on, so that most of its training text is to the point.
 CONTEXT = 8
 SPAN_AT = 0.5
+#: Marginals below this add nothing to a document, however long.
+COUNT_AT = 0.2
 
 
 @dataclass
@@ -49,23 +52,37 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.a + self.b * largest + self.c * np.log1p(expected), -30, 30)))
 
 
-def toxic_words(rows: list[tuple[int, object, str]]) -> set[bytes]:
-    """Lower-cased words, without the punctuation around them, that mark toxic documents."""
-    seen = {0: Counter(), 1: Counter()}
+def toxic_stems(rows: list[tuple[int, object, str]]) -> set[str]:
+    """Beginnings of words, and whole words, that mark toxic documents well beyond chance."""
     total = Counter(label for _, label, _ in rows)
-    for _, label, text in rows:
-        seen[label].update({_bare(x) for x in text.encode().split()})
-    least = max(LEAST_DOCS, LEAST_SHARE * total[1])
+    words_of = [({_bare(x) for x in text.split()}, label) for _, label, text in rows]
+    toxic = Counter(stem for found, label in words_of if label for stem in {s for w in found for s in _stems(w)})
+    toxic = {s: n for s, n in toxic.items() if n >= LEAST_DOCS}
+    other = Counter(stem for found, label in words_of if not label for stem in {s for w in found for s in _stems(w) if s in toxic})
+    chance = total[1] / (total[0] + total[1])
+    needed = math.log(max(len(toxic), 1)) + 2
     out = set()
-    for word, n in seen[1].items():
-        other = seen[0][word] / max(total[0], 1)
-        if word and n >= least and n / total[1] >= PRECISION * (n / total[1] + other):
-            out.add(word)
+    for stem, n in toxic.items():
+        m = other[stem]
+        rate, rest = n / total[1], m / total[0]
+        gain = n * math.log(n / ((n + m) * chance)) + (m * math.log(m / ((n + m) * (1 - chance))) if m else 0.0)
+        if rate >= PRECISION * (rate + rest) and gain >= needed:
+            out.add(stem)
     return out
 
 
-def _bare(word: bytes) -> bytes:
-    return word.strip(b".,;:!?\"'()[]*&%$#|-").lower()
+def _stems(word: str) -> list[str]:
+    """The word, and its beginnings of at least STEM letters."""
+    return [word[:k] for k in range(STEM, min(len(word), STEM + 6))] + [word + "$"] if word else []
+
+
+def _is_toxic(word: str, stems: set[str]) -> bool:
+    return any(s in stems for s in _stems(_bare(word)))
+
+
+def _bare(word: str) -> str:
+    """Lower-cased, without the punctuation around it."""
+    return word.strip(".,;:!?\"'()[]*&%$#|-").lower()
 
 
 def marks(model: crf.Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, object]:
@@ -77,21 +94,25 @@ def marks(model: crf.Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     some = w.counts > 0
     if some.any():
         largest[some] = np.maximum.reduceat(p, w.at[:-1][some])
-    total = np.concatenate([[0.0], np.cumsum(np.where(p > 0.02, p, 0.0))])
+    total = np.concatenate([[0.0], np.cumsum(np.where(p > COUNT_AT, p, 0.0))])
     return largest, total[w.at[1:]] - total[w.at[:-1]], p, w
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, chars: int = CHARS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", rounds: int = 30) -> ToxicityModel:
-    rows, counts = sample(docs, labelled(docs, labels, "toxic", fold), per_class, chars, id_column=id_column, text_column=text_column)
+    return fit_rows(*sample(docs, labelled(docs, labels, "toxic", fold), per_class, chars, id_column=id_column, text_column=text_column), rounds)
+
+
+def fit_rows(rows: list[tuple[int, object, str]], counts: dict, rounds: int = 30) -> ToxicityModel:
+    """The model from (id, label, text) and the number of all rows of each label."""
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     prior = ToxicityModel(None, math.log(share / (1 - share)), 0.0, 0.0)
-    bad = toxic_words(rows) if len(counts) == 2 else set()
+    bad = toxic_stems(rows) if len({label for _, label, _ in rows}) == 2 else set()
     if not bad:
         return prior
     texts, gold = [], []
     for k, (_, label, text) in enumerate(rows):
         parts = text.split()
-        flags = [label == 1 and _bare(x.encode()) in bad for x in parts]
+        flags = [label == 1 and _is_toxic(x, bad) for x in parts]
         near = [any(flags[max(0, i - CONTEXT) : i + CONTEXT + 1]) for i in range(len(parts))] if label else [(i // 16 + k) % 8 == 0 for i in range(len(parts))]
         if any(near):
             texts.append(" ".join(x for x, ok in zip(parts, near, strict=True) if ok))
