@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import langid, mix, quality, shard, toxicity
+from pairforge.llm import decontaminate, langid, mix, quality, shard, toxicity
 from pairforge.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op4_langid, op5_quality, op7_toxicity)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op4_langid, op5_quality, op6_decontaminate, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
