@@ -4,8 +4,9 @@ Every source has a target number of words. A document of a source of S words wit
 average: the whole part for certain, and the fraction as a probability. Documents' fractional masses (fraction times
 words) are paired: a random one gives mass to the other until one of them holds nothing or its whole size. The direction
 is drawn so that no expectation moves, and mass in words is kept exactly, so a source's words end within one document of
-its target. Blocks of documents are folded independently; what a block has left over, one document with a part of its
-mass, goes to the next level of a tree until one is left in each source, which a last draw settles.
+its target. Blocks of documents are folded independently, large documents first; what a block has left over, one document with a part of its
+mass, goes to the next level of a tree until one is left in each source. That one is taken if its source then ends nearer to
+its target: the one decision that is not drawn.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; documents without words
 are taken 0 times; repeated rows (same id, source and text) are treated as so many documents; an empty table gives no
@@ -24,7 +25,7 @@ MAX_REPEAT = 3.0
 BLOCK = 512
 KEY = ("_id", "_source", "_size", "_text")
 
-_ITEM = "struct<h:bigint,id:bigint,text:bigint,size:bigint,n:bigint,full:bigint,mass:double>"
+_ITEM = "struct<least:bigint,h:bigint,id:bigint,text:bigint,size:bigint,n:bigint,full:bigint,mass:double>"
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -56,7 +57,7 @@ def _fold(items: str, seed: int) -> Column:
     takes = "IF(b.mass <= a.size - a.mass, struct(b AS done, 0 AS up, a AS stay, a.mass + b.mass AS mass), struct(a AS done, 1 AS up, b AS stay, b.mass - (a.size - a.mass) AS mass))"
     give, take = "least(a.mass, b.size - b.mass)", "least(b.mass, a.size - a.mass)"
     draw = f"shiftrightunsigned(xxhash64({seed}, a.id, a.text, b.id, b.text), 11) * {2.0**-53!r}D * ({give} + {take}) < {take}"
-    with_mass = "struct(s.stay.h AS h, s.stay.id AS id, s.stay.text AS text, s.stay.size AS size, s.stay.n AS n, s.stay.full AS full, s.mass AS mass)"
+    with_mass = "struct(s.stay.least AS least, s.stay.h AS h, s.stay.id AS id, s.stay.text AS text, s.stay.size AS size, s.stay.n AS n, s.stay.full AS full, s.mass AS mass)"
     pair = f"transform(transform(array(struct(acc.left AS a, x AS b)), p -> transform(array(p), q -> {{}})[0]), s -> struct({with_mass} AS left, concat(acc.done, array(named_struct('item', s.done, 'up', s.up))) AS done))[0]"
     q = lambda text: text.replace("a.", "q.a.").replace("b.", "q.b.").replace("(a AS", "(q.a AS").replace("(b AS", "(q.b AS").replace(" a AS", " q.a AS").replace(" b AS", " q.b AS")
     step = pair.format(f"IF({q(draw)}, {q(gives)}, {q(takes)})")
@@ -82,7 +83,7 @@ def mix_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
 
     # the tree; block counts follow from the number of keys, so that no level needs a count of its own
     most = aims.agg(F.max("keys")).first()[0] or 0
-    left = split.where(F.col("mass") > 0).select("_source", "keys", *carried, F.struct(F.xxhash64(F.lit(seed), "_id", "_text").alias("h"), F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_size").alias("size"), "n", "full", "mass").alias("item"))
+    left = split.where(F.col("mass") > 0).select("_source", "keys", *carried, F.struct((-F.col("_size")).alias("least"), F.xxhash64(F.lit(seed), "_id", "_text").alias("h"), F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_size").alias("size"), "n", "full", "mass").alias("item"))
     decided, level, span = [settled], 0, block
     while True:
         groups = left.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + level), "item.h", "item.size"), F.ceil(F.col("keys") / F.lit(span))))
@@ -95,8 +96,8 @@ def mix_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
         if span >= most:
             break
         level, span = level + 1, span * block
-    from_hash = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(-1), "item.id", "item.text"), 11) * F.lit(2.0**-53)
-    decided.append(_rows(left, "item", (from_hash * F.col("item.size") < F.col("item.mass")).cast("int"), carried))
+    # one item is left in each source: it goes where its source ends nearer to its target
+    decided.append(_rows(left, "item", (F.col("item.mass") * 2 >= F.col("item.size")).cast("int"), carried))
     out = decided[0]
     for x in decided[1:]:
         out = out.unionByName(x)
@@ -111,12 +112,15 @@ def _rows(df: DataFrame, item: str, up: Column, carried: tuple[str, ...]) -> Dat
 def mix(docs: DataFrame, **options) -> DataFrame:
     """`docs` with each row as often as the mix takes it; columns stay as they are."""
     id_column, text_column, source_column = options.get("id_column", "doc_id"), options.get("text_column", "text"), options.get("source_column", "source")
-    picks = mix_decisions(docs, **options)
-    names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[id_column].cast("long").alias("_id"), docs[source_column].alias("_source"), n_words(docs[text_column]).alias("_size"), F.xxhash64(docs[text_column]).alias("_text"))
+    picks = mix_decisions(docs, **options).where((F.col("base") > 0) | (F.col("more") > 0))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_column].cast("long").alias("_id"), docs[source_column].alias("_source"), n_words(docs[text_column]).alias("_size"), F.xxhash64(docs[text_column]).alias("_text"))
+    # one shuffle of the rows serves both the join and the numbering, as no key is null
+    same = ["_size", "_text", "_i", "_i_null", "_s", "_s_null"]
+    plain = {"_i": F.coalesce("_id", F.lit(0)), "_i_null": F.col("_id").isNull(), "_s": F.coalesce("_source", F.lit("")), "_s_null": F.col("_source").isNull()}
     # equal rows take turns; ids are unique in a sound table, so these windows hold one row
-    turn = F.row_number().over(Window.partitionBy(*[keyed[k] for k in KEY]).orderBy(F.lit(1)))
-    joined = keyed.withColumn("_turn", turn).join(picks.where((F.col("base") > 0) | (F.col("more") > 0)).alias("picks"), on=[keyed[k].eqNullSafe(F.col(f"picks.{k}")) for k in KEY])
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1)))
+    numbered = rows.withColumns(plain).drop("_id", "_source").withColumn("_turn", turn)
+    joined = numbered.join(picks.withColumns(plain).select(*same, "base", "more"), same)
     copies = F.col("base") + F.when(F.col("_turn") <= F.col("more"), 1).otherwise(0)
     return joined.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("_row.*")
 
