@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import decontaminate, langid, mix, quality, shard, toxicity
+from pairforge.llm import decontaminate, jaccard, langid, mix, quality, shard, toxicity
 from pairforge.llm.common import table
 
 
@@ -34,8 +34,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op4_langid, op5_quality, op6_decontaminate, op7_toxicity)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op4_langid, op5_quality, op6_decontaminate, op7_toxicity, op10_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
