@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import decontaminate, jaccard, langid, mix, quality, shard, toxicity
+from pairforge.llm import decontaminate, jaccard, langid, mix, quality, shard, substrings, toxicity
 from pairforge.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid_report(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op4_langid, op5_quality, op6_decontaminate, op7_toxicity, op10_jaccard, pipeline)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_substrings, op4_langid, op5_quality, op6_decontaminate, op7_toxicity, op10_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
