@@ -57,3 +57,11 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in have:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
     return spark
+
+
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that `df` does not have."""
+    have = {c.lower() for c in df.columns}
+    while like.lower() in have:
+        like += "_"
+    return like

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import importable
+from pairforge.llm.common import free_name, importable
 from pairforge.llm.kernel import U, mixed, run_hashes, slices, words
 
 #: Template words of a window; the least of an item that can be matched; how much of an item must be covered.
@@ -229,4 +229,6 @@ def _finder(shared, coverage: float):
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that leak no item, with their columns. Rows whose id is null stay."""
-    return docs.join(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), F.col(options.get("id_column", "doc_id")) == F.col("_leak"), "left_anti")
+    column = free_name(docs, "_leak")
+    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(column)).distinct()
+    return docs.join(found, F.col(options.get("id_column", "doc_id")) == F.col(column), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import importable
+from pairforge.llm.common import free_name, importable
 from pairforge.llm.training import labelled, remainder, sample
 
 PER_CLASS = 1500
@@ -144,4 +144,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int]
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, with their columns."""
-    return score(docs, fit(docs, labels, **options), column="_score").where(F.col("_score") >= threshold).drop("_score")
+    column = free_name(docs, "_score")
+    return score(docs, fit(docs, labels, **options), column=column).where(F.col(column) >= threshold).drop(column)
