@@ -124,23 +124,17 @@ def test_similar_groups_of_nothing(spark):
     assert jaccard.similar_groups(docs_of(spark, [(1, "a")]).where("doc_id > 1")).count() == 0
 
 
-def test_sets_without_enough_signatures(spark, monkeypatch):
-    """With every set short of signatures, the comparison by single n-grams finds the same."""
-    monkeypatch.setattr(jaccard, "signatures", lambda s, hot: ([np.zeros(0, U)], False))
-    r = random.Random(9)
-    base = [f"w{k}" for k in range(60)]
-    rows = [(k, " ".join(base[: 60 - k % 4] + [f"x{r.randrange(99)}" for _ in range(k % 30)])) for k in range(20)]
-    from pairforge.llm.jaccard import _sign
-
-    class Shared:
-        value = (30, np.zeros(0, U))
-
-    import pyarrow as pa
-
-    s = np.arange(5, dtype=U)
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([5]), pa.array([s.tobytes()])], names=["doc_id", "n", "shingles"])
-    (out,) = _sign(Shared)([batch])
-    assert out.column(3).to_pylist() == [True] and len(rows) == 20
+def test_sets_without_enough_signatures(spark):
+    """Sets made to fill too few segments are marked, and found all the same."""
+    mark = lambda s: jaccard.signatures(s, np.zeros(0, U))[1]
+    words = [f"w{k}" for k in range(40_000)]
+    text = " ".join(words)
+    data = np.frombuffer(text.encode(), np.uint8)
+    (pool,) = jaccard.sets(data, np.array([0, len(data)]))
+    assert mark(pool[:7])
+    # of six n-grams in one segment only two differences are covered, and three are needed
+    (crowded,) = [v for v in (pool[(jaccard.mixed(pool ^ U(3)) % U(2)) == 0][:6],)]
+    assert not mark(np.sort(crowded))
 
 
 def test_signatures_meet():
