@@ -57,10 +57,11 @@ def features(data: np.ndarray, offsets: np.ndarray, lower: bool = True, orders:
     first = np.zeros(n, bool)
     first[w.at[:-1][w.counts > 0]] = True
     distinct, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    # distinct words in a row, each with a blank before and after it
+    # distinct words in a row, each with blanks around it, so many that no n-gram of it reaches the next
     length = w.ends[one] - w.starts[one]
-    after = np.cumsum(length + 1) + 1
-    starts = after - length - 1
+    gap = max(2, max(orders) - 2)
+    after = np.cumsum(length + gap) + 1
+    starts = after - length - gap
     line = np.full(int(after[-1]) + max(orders) if len(one) else max(orders), 0x20, np.uint32)
     place = np.repeat(starts - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(one) else np.zeros(0, np.int64)
     line[place] = w.data[np.repeat(w.starts[one] - starts, length) + place] if len(one) else 0

@@ -23,7 +23,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -267,36 +266,67 @@ def _gathered(b: Block, answers: list[dict], ranges: int) -> tuple[np.ndarray, i
     return of_types[types != BEGIN], begin, of_pairs, home, one, which
 
 
-TERM = "word long, kept double, covered double, block long, count long"
+TERM = "word long, kept double, covered double, count long, block long, part int, hashes binary"
 
 
 def _terms(counts: Counts, bits: int, ranges: int):
-    """Each block's part of the sums for alpha, by history; and, with a null sum, the histories whose alpha it needs."""
+    """Each block's part of the sums for alpha, by history; and, in rows without sums, the histories whose alpha it needs."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = list(_rows(left.combine_chunks().to_batches()[0]))
         b = Block(row, bits)
         of_types, begin, of_pairs, home, one, _ = _gathered(b, right.to_pylist(), ranges)
-        use = np.flatnonzero((of_pairs > 0))
+        use = np.flatnonzero((of_pairs > 0) & home)
         history = b.histories()[one[use]]
         of_history = np.append(of_types, begin)[history]
-        hashes = np.append(b.hashes, BEGIN)[history]
-        mine = home[use]
+        words_, at = np.unique(np.append(b.hashes, BEGIN)[history], return_inverse=True)
+        seen = np.zeros(len(words_), np.int64)
+        seen[at] = of_history
         kept = counts.pair_discount(of_pairs[use]) * of_pairs[use] / np.maximum(of_history, 1)
         covered = counts.word_probability(of_types[b.token[one[use]]])
-        asks, at = np.unique(hashes, return_inverse=True)
-        n = len(asks)
-        seen = np.zeros(n, np.int64)
-        seen[at] = of_history
-        some = np.bincount(at[mine], minlength=n) > 0
-        sums = [np.bincount(at[mine], x[mine], n)[some] for x in (kept, covered)]
-        own = pa.table({"word": asks[some].view(np.int64), "kept": sums[0], "covered": sums[1], "block": pa.nulls(int(some.sum()), pa.int64()), "count": seen[some]})
-        need = pa.table({"word": asks.view(np.int64), "kept": pa.nulls(n, pa.float64()), "covered": pa.nulls(n, pa.float64()), "block": np.full(n, row["block"], np.int64), "count": seen})
-        return pa.concat_tables([own, need])
+        n, needs = len(words_), [(r, pack(np.diff(v, prepend=U(0)))) for r, v, _ in _needs(b, of_types, ranges)]
+        return pa.table(
+            {
+                "word": pa.array([*words_.view(np.int64).tolist(), *[None] * len(needs)], pa.int64()),
+                "kept": pa.array([*np.bincount(at, kept, n).tolist(), *[None] * len(needs)], pa.float64()),
+                "covered": pa.array([*np.bincount(at, covered, n).tolist(), *[None] * len(needs)], pa.float64()),
+                "count": pa.array([*seen.tolist(), *[None] * len(needs)], pa.int64()),
+                "block": pa.array([None] * n + [row["block"]] * len(needs), pa.int64()),
+                "part": pa.array([None] * n + [r for r, _ in needs], pa.int32()),
+                "hashes": pa.array([None] * n + [h for _, h in needs], pa.binary()),
+            }
+        )
 
     return run
 
 
+def _needs(b: Block, of_types: np.ndarray, parts: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, hashes, places) of a block's histories that may have a kept pair somewhere, sorted; the last place is the beginning's."""
+    place = np.append(np.flatnonzero((of_types >= CUTOFF) & (b.hashes != END)), len(b.hashes))
+    hashes = np.append(b.hashes, BEGIN)[place]
+    order = np.argsort(hashes, kind="stable")
+    hashes, place = hashes[order], place[order]
+    part = hashes.view(np.int64) % parts
+    return [(r, hashes[part == r], place[part == r]) for r in np.unique(part).tolist()]
+
+
+def _tell(key: tuple, needs: pa.Table, alphas: pa.Table) -> pa.Table:
+    """Answers of one part of the histories: to each block, which of those that it asked for have an alpha, its logarithm, and whether the history is full."""
+    word = alphas["word"].to_numpy().view(U)
+    order = np.argsort(word)
+    word = word[order]
+    log, full = np.log10(alphas["alpha"].to_numpy())[order], alphas["full"].to_numpy(zero_copy_only=False).astype(bool)[order]
+    out = []
+    for r in needs.to_pylist():
+        asked = np.cumsum(unpack(r["hashes"]), dtype=U)
+        at = np.minimum(np.searchsorted(word, asked), max(len(word) - 1, 0))
+        has = word[at] == asked if len(word) else np.zeros(len(asked), bool)
+        out.append((r["block"], 3, r["part"], log[at[has]].tobytes(), np.packbits(has).tobytes(), np.packbits(full[at[has]]).tobytes()))
+    columns = list(zip(*out, strict=True)) or [[]] * 6
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in ANSWER.split(", ")])
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -304,15 +334,16 @@ def _scores(counts: Counts, bits: int, ranges: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = list(_rows(left.combine_chunks().to_batches()[0]))
         b = Block(row, bits)
-        alphas = right.filter(pc.equal(right["kind"], 3))
-        of_types, begin, of_pairs, _, _, which = _gathered(b, right.filter(pc.less(right["kind"], 3)).to_pylist(), ranges)
+        answers = right.to_pylist()
+        of_types, begin, of_pairs, _, _, which = _gathered(b, answers, ranges)
+        told = {a["range"]: a for a in answers if a["kind"] == 3}
         log_alpha = np.zeros(len(b.hashes) + 1)
-        have = alphas["word"].to_numpy().view(U)
-        at = np.searchsorted(b.hashes, have)
-        at = np.where(have == BEGIN, len(b.hashes), at)
-        log_alpha[at] = np.log10(alphas["alpha"].to_numpy())
         one_more = np.zeros(len(log_alpha), np.int64)
-        one_more[at] = alphas["full"].to_numpy(zero_copy_only=False)
+        for r, v, place in _needs(b, of_types, ranges):
+            if r in told:
+                has = np.unpackbits(np.frombuffer(told[r]["home"], np.uint8), count=len(v)).astype(bool)
+                log_alpha[place[has]] = np.frombuffer(told[r]["counts"], np.float64)
+                one_more[place[has]] = np.unpackbits(np.frombuffer(told[r]["stats"], np.uint8), count=int(has.sum()))
         history = b.histories()
         c = of_types[b.token]
         pair = of_pairs[which]
@@ -344,14 +375,13 @@ def lm_scores(docs: DataFrame, *, fold: tuple[int, int] = FOLD, id_column: str =
         sums[r.kind] = sums.get(r.kind, np.zeros(TOP + 3, np.int64)) + np.frombuffer(bytes(r.stats), np.int64)
     one, two = (sums.get(k, np.zeros(TOP + 3, np.int64)) for k in (1, 2))
     counts = Counts(int(one[0]), int(one[1]), tuple(map(int, one[2:])), tuple(map(int, two[2:])))
-    replies = answers.drop("stats")
+    replies = answers.withColumn("stats", F.lit(None).cast("binary"))
     terms = written(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_terms(counts, bits, ranges), TERM))
     mass = terms.where("block IS NULL").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("covered").alias("covered"), F.max("count").alias("count"))
     # where the pairs use up everything, the history counts one more, and that one is left to backoff
     full = F.col("kept") > 1 - FULL
-    alpha = mass.select("word", (F.when(full, 1 / (F.col("count") + 1)).otherwise(1 - F.col("kept")) / (1 - F.col("covered"))).alias("alpha"), full.alias("full"))
-    given = terms.where("block IS NOT NULL").select("block", "word").join(alpha, "word")
-    empty = {c: F.lit(None).cast(t) for c, t in (("range", "int"), ("counts", "binary"), ("home", "binary"))}
-    told = replies.withColumns({"word": F.lit(None).cast("long"), "alpha": F.lit(None).cast("double"), "full": F.lit(None).cast("boolean")}).unionByName(given.withColumns({"kind": F.lit(3)} | empty))
+    alpha = mass.select(F.pmod("word", F.lit(ranges)).cast("int").alias("part"), "word", (F.when(full, 1 / (F.col("count") + 1)).otherwise(1 - F.col("kept")) / (1 - F.col("covered"))).alias("alpha"), full.alias("full"))
+    needs = terms.where("block IS NOT NULL").select("part", "block", "hashes")
+    told = replies.unionByName(needs.groupBy("part").cogroup(alpha.groupBy("part")).applyInArrow(_tell, ANSWER))
     scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(counts, bits, ranges), RESULT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
