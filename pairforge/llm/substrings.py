@@ -234,7 +234,8 @@ def duplicate_spans(docs: DataFrame, profiles: DataFrame, *, span: int = SPAN, a
     texts = docs.join(by_doc.select("doc_id").distinct() if not few else F.broadcast(by_doc.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     opened = written(texts.join(by_doc, "doc_id").select("doc_id", "text", "shared").mapInArrow(_open_windows(span, anchor), "window long, doc_id long, pos int, factor_end int"))
     windows = opened.where("factor_end = 0")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+    # written, so that the join below may split a window that very many documents have
+    first = written(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first"))
     late = windows.join(first, "window").where("first < doc_id").select("doc_id", "pos", (F.col("pos") + span).alias("end"))
     spans = late.unionByName(opened.where("factor_end > 0").select("doc_id", "pos", F.col("factor_end").alias("end")))
     # overlapping spans as one, so that what a document collects is short
