@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="pairforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or _own_dir()).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="pairforge-")
 
 
 def written(df: DataFrame) -> DataFrame:
