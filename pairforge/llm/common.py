@@ -32,14 +32,23 @@ def _own_dir() -> str:
 def written(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: computed once, and no executor's loss can undo it.
 
-    The table goes when the application ends.
+    The table goes when it is discarded, or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairforge-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read any more."""
+    for t in tables:
+        at = t._written_at
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def n_words(text: Column) -> Column:

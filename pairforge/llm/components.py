@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import written
+from pairforge.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,11 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # the smallest label among a node's neighbours, offered to the node and to the node that its label names
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        offered = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("best"))
+        offered = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "near").alias("best"))
         hooks = offered.select("node", "best").unionByName(offered.select(F.col("component").alias("node"), "best")).groupBy("node").agg(F.min("best").alias("best"))
         hooked = written(labels.join(hooks, "node", "left").select("node", F.col("component").alias("was"), F.coalesce(F.least("component", "best"), "component").alias("component")))
         parent = hooked.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = written(hooked.join(parent, "component", "left").select("node", "was", F.coalesce("above", "component").alias("component")))
-        if jumped.where("was <> component").isEmpty():
-            return jumped.select("node", "component")
-        labels = jumped.select("node", "component")
+        done = jumped.where("was <> component").isEmpty()
+        discard(hooked, labels)
+        labels = jumped
+        if done:
+            discard(both)
+            return labels.select("node", "component")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairforge.llm.common import importable, written
+from pairforge.llm.common import discard, importable, written
 from pairforge.llm.kernel import U, Words, run_hashes, slices, words
 
 SPAN = 50
@@ -243,7 +243,9 @@ def duplicate_spans(docs: DataFrame, profiles: DataFrame, *, span: int = SPAN, a
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("new", F.when(reach >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc_id", "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
-    return merged.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "end")).alias("spans"))
+    out = written(merged.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "end")).alias("spans")))
+    discard(firsts, found, by_doc, opened, first)
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, span: int = SPAN, anchor: int = ANCHOR, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -251,7 +253,7 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, anchor: int = ANCHOR, i
     importable(docs.sparkSession)
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     profiles = written(slim.mapInArrow(_profile, "doc_id long, n_words long, sha binary"))
-    spans = written(duplicate_spans(slim, profiles, span=span, anchor=anchor))
+    spans = duplicate_spans(slim, profiles, span=span, anchor=anchor)
     few = spans.count() <= FEW // 8
     hit = slim.join(F.broadcast(spans.select("doc_id")) if few else spans.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     cut = hit.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_cut(span), "doc_id long, n_removed long, kept_sha256 string, kept string")
