@@ -37,7 +37,7 @@ CUTOFF, TOP = 2, 5
 #: A history whose pairs leave less than this has nothing for backoff.
 FULL = 1e-9
 #: Tokens of a block, and entries of a range.
-BLOCK, RANGE = 3 << 20, 4 << 20
+BLOCK, RANGE = 2 << 20, 3 << 20
 BEGIN, END = (U(x) for x in mixed(np.array([0xB06, 0xE0D], U)))
 
 BLOCK_SCHEMA = "block long, tokens long, ids binary, nulls binary, held binary, ends binary, types binary, stream binary"
