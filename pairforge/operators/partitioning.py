@@ -20,6 +20,16 @@ def salted(replicas: DataFrame, k: int, salt: Column | None = None) -> DataFrame
     return replicas.withColumn("sub", F.pmod(F.xxhash64("id") if salt is None else salt, F.lit(k)).cast("long"))
 
 
+def split_sizes(counts: DataFrame, target: int, slop: float = 1.1) -> DataFrame:
+    """`counts` with n_splits: parts of `target` rows, of which the last may hold up to `slop` times as many."""
+    return counts.withColumn("n_splits", F.greatest(F.lit(1), F.ceil(F.col("n_records") / F.lit(target) - F.lit(slop - 1))).cast("long"))
+
+
+def salted_by_size(replicas: DataFrame, splits: DataFrame) -> DataFrame:
+    """Splits each cell into the number of parts that `split_sizes` gives it, so that small cells stay whole."""
+    return replicas.join(splits.select("cell", "n_splits"), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_splits"))).drop("n_splits")
+
+
 def split_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Expands pairs of cells into pairs of their parts; pairs that name a cell without items go.
 

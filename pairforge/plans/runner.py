@@ -43,5 +43,5 @@ class StagedRun:
 def stage_report(replicas: DataFrame) -> DataFrame:
     """Rows for each cell and their share, largest first."""
     counts = replicas.groupBy("cell").agg(F.count("*").alias("n_records"))
-    total = counts.agg(F.sum("n_records").alias("total"))
-    return counts.join(F.broadcast(total)).select("cell", "n_records", (F.col("n_records") / F.col("total")).alias("share")).orderBy(F.desc("n_records"))
+    total = counts.agg(F.sum("n_records")).first()[0] or 0
+    return counts.withColumn("share", F.col("n_records") / F.lit(max(total, 1))).orderBy(F.desc("n_records"), "cell")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import predicates as P, text as T
 from pairforge.functions.regions import parse_region, usable_regions
 from pairforge.operators import grid as G, join as J, partitioning as K
-from pairforge.plans.runner import StagedRun, stage_name
+from pairforge.plans.runner import StagedRun, stage_name, stage_report
 from pairforge.plans.spec import JoinSpec, run_join
 from pairforge.queries import fixtures as X
 from pairforge.sources import shapefile as S, text as ST
@@ -76,6 +76,18 @@ def test_plans_agree(spark):
     assert bag.distinct().count() == 4877
 
 
+def test_salting(spark):
+    replicas = K.replicate(X.polygons(spark, SF).select("id", "signature"), G.Grid.of(X.polygons(spark, SF)).cells(F.col("signature")))
+    assert J.block_join(replicas, P.mbr_intersects, salt=4).count() == 6250
+    counts = K.partition_counts(replicas)
+    splits = {r.n_records: r.n_splits for r in K.split_sizes(counts, 50).collect()}
+    assert all(k == max(1, -(-(n - 5) // 50)) for n, k in splits.items())
+    parts = K.salted_by_size(replicas, K.split_sizes(counts, 50))
+    assert parts.count() == replicas.count() and parts.groupBy("cell", "sub").count().count() == sum(r.n_splits for r in K.split_sizes(counts, 50).collect())
+    report = stage_report(replicas).collect()
+    assert sum(r.share for r in report) == pytest.approx(1) and report[0].n_records == max(splits)
+
+
 def test_join_is_on_the_cell(spark):
     items = X.polygons(spark, SF)
     plan = J.signature_join(items, G.Grid.of(items).cells(F.col("signature")), P.mbr_intersects)._jdf.queryExecution().toString()
