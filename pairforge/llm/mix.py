@@ -70,7 +70,7 @@ def mix_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     # the one pass over texts; equal rows meet here, after a partial count
     keyed = written(
         docs.select(
-            F.col(id_column).cast("long").alias("_id"), F.col(source_column).alias("_source"), n_words(F.col(text_column)).alias("_size"), F.xxhash64(text_column).alias("_text")
+            F.col(id_column).cast("long").alias("_id"), F.col(source_column).cast("string").alias("_source"), n_words(F.col(text_column)).alias("_size"), F.xxhash64(text_column).alias("_text")
         ).groupBy(*KEY).agg(F.count("*").alias("n"))
     )
     sizes = keyed.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("n")).alias("source_size"), F.count("*").alias("keys"))
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """`docs` with each row as often as the mix takes it; columns stay as they are."""
     id_column, text_column, source_column = options.get("id_column", "doc_id"), options.get("text_column", "text"), options.get("source_column", "source")
     picks = mix_decisions(docs, **options).where((F.col("base") > 0) | (F.col("more") > 0))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_column].cast("long").alias("_id"), docs[source_column].alias("_source"), n_words(docs[text_column]).alias("_size"), F.xxhash64(docs[text_column]).alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_column].cast("long").alias("_id"), docs[source_column].cast("string").alias("_source"), n_words(docs[text_column]).alias("_size"), F.xxhash64(docs[text_column]).alias("_text"))
     # one shuffle of the rows serves both the join and the numbering, as no key is null
     same = ["_size", "_text", "_i", "_i_null", "_s", "_s_null"]
     plain = {"_i": F.coalesce("_id", F.lit(0)), "_i_null": F.col("_id").isNull(), "_s": F.coalesce("_source", F.lit("")), "_s_null": F.col("_source").isNull()}
