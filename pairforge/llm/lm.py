@@ -1,6 +1,6 @@
 """Scores of texts by a bigram language model with Katz backoff.
 
-P(w | v) = d c(v w) / c(v) for a pair that occurs at least `CUTOFF` times, else alpha(v) P(w), where alpha(v) makes the sum
+P(w | v) = d c(v w) / c(v) for every pair that occurs, single ones too, else alpha(v) P(w), where alpha(v) makes the sum
 over all words exactly 1; P(w) = d c(w) / N for a known word, and what the discounts leave is the probability of an unknown
 one. The discounts d are Good-Turing's, by Katz: small counts only, from counts of counts. A history all of whose
 pairs are frequent would leave nothing; it counts one more, and that one goes to backoff.
@@ -32,8 +32,8 @@ from pairforge.llm.packing import pack, unpack
 from pairforge.llm.training import remainder
 
 FOLD = (7, 2)
-#: Pairs that occur less often are left to backoff; counts above TOP are not discounted.
-CUTOFF, TOP = 2, 5
+#: Pairs that occur less often are left to backoff: at 1, none of those that occur. Counts above TOP are not discounted.
+CUTOFF, TOP = 1, 5
 #: A history whose pairs leave less than this has nothing for backoff.
 FULL = 1e-9
 #: Tokens of a block, and entries of a range.
@@ -285,17 +285,11 @@ def _terms(counts: Counts, bits: int, ranges: int):
         kept = counts.pair_discount(of_pairs[use]) * of_pairs[use] / np.maximum(of_history, 1)
         covered = counts.word_probability(of_types[b.token[one[use]]])
         n, needs = len(words_), [(r, pack(np.diff(v, prepend=U(0)))) for r, v, _ in _needs(b, of_types, ranges)]
-        return pa.table(
-            {
-                "word": pa.array([*words_.view(np.int64).tolist(), *[None] * len(needs)], pa.int64()),
-                "kept": pa.array([*np.bincount(at, kept, n).tolist(), *[None] * len(needs)], pa.float64()),
-                "covered": pa.array([*np.bincount(at, covered, n).tolist(), *[None] * len(needs)], pa.float64()),
-                "count": pa.array([*seen.tolist(), *[None] * len(needs)], pa.int64()),
-                "block": pa.array([None] * n + [row["block"]] * len(needs), pa.int64()),
-                "part": pa.array([None] * n + [r for r, _ in needs], pa.int32()),
-                "hashes": pa.array([None] * n + [h for _, h in needs], pa.binary()),
-            }
-        )
+        sums = (words_.view(np.int64), np.bincount(at, kept, n), np.bincount(at, covered, n), seen)
+        asks = ([row["block"]] * len(needs), [r for r, _ in needs], [h for _, h in needs])
+        of_sums = [pa.concat_arrays([pa.array(c.astype(t.to_pandas_dtype()), t), pa.nulls(len(needs), t)]) for c, t in zip(sums, (pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
+        of_asks = [pa.concat_arrays([pa.nulls(n, t), pa.array(c, t)]) for c, t in zip(asks, (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+        return pa.table(of_sums + of_asks, names=[c.split()[0] for c in TERM.split(", ")])
 
     return run
 

@@ -200,3 +200,39 @@ def test_language_model_of_nothing(spark):
     held = next(k for k in range(99) if remainder(k, 7) == 2)
     (x,) = lm.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_single_pairs_are_evidence(spark):
+    """Against Katz's formulas over all pairs, without a cutoff."""
+    r = np.random.default_rng(11)
+    rows = [(k, " ".join(f"w{min(int(x), 80)}" for x in r.pareto(0.7, 40))) for k in range(120)]
+    one, two, begins = Counter(), Counter(), 0
+    for i, t in rows:
+        if remainder(i, 7) != 2:
+            ts = [*t.split(), None]
+            one.update(ts)
+            two.update(zip([0, *ts[:-1]], ts, strict=True))
+            begins += 1
+    n = [sum(c == k for c in two.values()) for k in range(1, 7)]
+    share = 6 * n[5] / n[0]
+    good_turing = [((k + 1) * n[k] / n[k - 1] / k - share) / (1 - share) for k in range(1, 6)]
+    d = [0, *[g if 0.05 < g < 1 else (k - 0.5) / k for k, g in enumerate(good_turing, 1)], 1]
+    assert 0 < d[1] < 1
+    counts = lm.Counts(sum(one.values()), len(one), tuple(sum(c == k for c in one.values()) for k in range(1, 7)), tuple(n))
+    p = lambda w: float(counts.word_probability(np.array([one[w]]))[0])
+    seen = lambda v: begins if v == 0 else one[v]
+    pair = {(v, w): d[min(c, 6)] * c / seen(v) for (v, w), c in two.items()}
+
+    def score(v, w):
+        if (v, w) in pair:
+            return math.log10(pair[v, w])
+        mine = [k for k in pair if k[0] == v]
+        return math.log10(p(w) * ((1 - sum(pair[k] for k in mine)) / (1 - sum(p(k[1]) for k in mine)) if mine else 1))
+
+    assert all(sum(x for k, x in pair.items() if k[0] == v) < 1 - lm.FULL for v, _ in pair)
+    texts = {i: [*t.split(), None] for i, t in rows}
+    hit = [two[k] for i, ts in texts.items() if remainder(i, 7) == 2 for k in zip([0, *ts[:-1]], ts, strict=True)]
+    assert hit.count(1) >= 10
+    for x in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        ts = texts[x.doc_id]
+        assert x.score == pytest.approx(sum(score(v, w) for v, w in zip([0, *ts[:-1]], ts, strict=True)), abs=1e-6)
