@@ -2,14 +2,16 @@
 
 Texts become templates: a number becomes a placeholder, so does a unit after a number and a name (a capitalised word that
 does not begin a sentence); other words are lower-cased without the punctuation around them, and words of punctuation
-alone go. Windows of template words are hashed, and the windows of the documents are joined by hash with those of the
-benchmark items. Matches of a document and an item on one diagonal cover a part of the item; the document leaks the item
-if the part is large enough and the slots agree: one value of the item must always stand for one value of the document.
+alone go. Consecutive numbers are one placeholder, and so are consecutive names. Windows of template words are hashed, and
+the windows of the documents are joined by hash with those of the benchmark items. Matches of a document and an item are
+runs along diagonals; runs that follow each other in both, on nearby diagonals, are a chain and cover a part of the item.
+The document leaks the item if the part is large enough and the slots agree: one value of the item must always stand for
+one value of the document.
 
 The benchmark is the hash table's side and is taken in blocks of bounded size, each against all documents.
 
 Defined results: null and empty texts match nothing; items with fewer template words than a window are matched as a whole
-if they have at least `MIN_WORDS`, and otherwise never; repeated rows of documents are reported each; an item id that
+if they have at least `MIN_WORDS` words, and otherwise never; repeated rows of documents are reported each; an item id that
 repeats with different texts is reported once for each text, with a null id kept as null.
 """
 
@@ -33,6 +35,8 @@ COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
+#: Readings of a text.
+READINGS = 1
 
 #: Units of measurement that may follow a number.
 UNITS = frozenset(
@@ -48,12 +52,14 @@ NUMBER, UNIT, NAME = (int(x) for x in mixed(np.array([1, 2, 3], U)))
 
 @dataclass
 class Template:
-    """Template words of consecutive texts."""
+    """Template words of consecutive texts in one reading. Consecutive numbers are one template word, and so are consecutive names."""
 
     code: np.ndarray  #: hash of the template word
     raw: np.ndarray  #: hash of what stands there, for slots
     slot: np.ndarray
     at: np.ndarray  #: first template word of each text
+    first: np.ndarray  #: first word of each template word, and the number of words at the end
+    words_at: np.ndarray  #: first word of each text
 
 
 def _kind(raw: bytes) -> tuple[bytes, bool, bool, bool, bool]:
@@ -68,10 +74,23 @@ def _kind(raw: bytes) -> tuple[bytes, bool, bool, bool, bool]:
     return low.encode(), number, low in UNITS or word in UNITS, capital, word[-1:] in ".!?:" or word[-2:-1] in ".!?"
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> Template:
+def _reading(code: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray) -> Template:
+    joins = np.zeros(len(code), bool)
+    joins[1:] = slot[1:] & slot[:-1] & (code[1:] == code[:-1])
+    joins[at[:-1][np.diff(at) > 0]] = False
+    first = np.append(np.flatnonzero(~joins), len(code))
+    value = raw[first[:-1]]
+    long = np.flatnonzero(np.diff(first) > 1)
+    if len(long):
+        value[long] = run_hashes(raw, first[long], first[long + 1])
+    return Template(code[first[:-1]], value, slot[first[:-1]], np.searchsorted(first, at), first, at)
+
+
+def template(data: np.ndarray, offsets: np.ndarray) -> list[Template]:
+    """The texts' readings."""
     w = words(data, offsets)
     if not len(w.starts):
-        return Template(*[np.zeros(0, U)] * 2, np.zeros(0, bool), w.at)
+        return [Template(*[np.zeros(0, U)] * 2, np.zeros(0, bool), w.at, np.zeros(1, np.int64), w.at)] * READINGS
     distinct, one, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
     raw = data.tobytes()
     kinds = [_kind(raw[a:b]) for a, b in zip(w.starts[one].tolist(), w.ends[one].tolist(), strict=True)]
@@ -90,14 +109,18 @@ def template(data: np.ndarray, offsets: np.ndarray) -> Template:
     after_number[1:] = number[:-1]
     after_number[w.at[:-1][w.counts > 0]] = False
     bare = bare[which]
-    code = bare.copy()
-    name = capital & ~begins
-    code[name] = NAME
-    code[unit & after_number] = UNIT
-    code[number] = NUMBER
-    keep = (length[which] > 0) | (unit & after_number)
-    kept_before = np.concatenate([[0], np.cumsum(keep)])
-    return Template(code[keep], bare[keep], (name | (unit & after_number) | number)[keep], kept_before[w.at])
+    measure = unit & after_number
+    keep = (length[which] > 0) | measure
+    at = np.concatenate([[0], np.cumsum(keep)])[w.at]
+    raw_words = bare[keep]
+    out = []
+    for name in (capital & ~begins,):
+        code, slot = bare.copy(), (name | measure | number)[keep]
+        code[name] = NAME
+        code[measure] = UNIT
+        code[number] = NUMBER
+        out.append(_reading(code[keep], raw_words, slot, at))
+    return out
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,81 +137,141 @@ def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Windows of a block of items, by width: sorted hashes with the item and the place of each."""
+    """Windows of a block of items, for each reading by width: sorted hashes with the first template word of each."""
 
     ids: list
-    items: Template
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    items: list[Template]
+    tables: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def index(items: list[tuple[int | None, str | None]]) -> Index:
     raw = [(t or "").encode() for _, t in items]
-    t = template(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    sizes = np.diff(t.at)
-    tables = {}
-    for width in sorted({min(WINDOW, int(s)) for s in sizes if s >= MIN_WORDS}):
-        hashes, starts = windows(t, width)
-        item = np.searchsorted(t.at, starts, "right") - 1
-        use = (sizes[item] >= WINDOW) if width == WINDOW else (sizes[item] == width)
-        order = np.argsort(hashes[use], kind="stable")
-        h = hashes[use][order]
-        sieve = np.zeros(1 << FILTER_BITS, bool)
-        sieve[(h >> U(64 - FILTER_BITS)).astype(np.int64)] = True
-        tables[width] = (h, item[use][order], (starts - t.at[item])[use][order], sieve)
-    return Index([i for i, _ in items], t, tables)
-
-
-def matches(ix: Index, t: Template, coverage: float) -> list[tuple[int, int, int, int, int, bool, bool]]:
-    """(text, item, words covered, words of the item, first template word in the text, slots agree, values are the same), for each text and item the diagonal that covers most."""
-    out = {}
-    for width, (hashes, item, place, sieve) in ix.tables.items():
-        found, starts = windows(t, width)
-        maybe = sieve[(found >> U(64 - FILTER_BITS)).astype(np.int64)]
-        found, starts = found[maybe], starts[maybe]
-        a, b = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
-        n = b - a
-        if not n.sum():
-            continue
-        entry = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        starts = np.repeat(starts, n)
-        text = np.searchsorted(t.at, starts, "right") - 1
-        start = starts - t.at[text]
-        i, p = item[entry], place[entry]
-        order = np.lexsort((p, start - p, i, text))
-        text, i, p, start = text[order], i[order], p[order], start[order]
-        new = np.ones(len(p), bool)
-        new[1:] = (text[1:] != text[:-1]) | (i[1:] != i[:-1]) | ((start - p)[1:] != (start - p)[:-1])
-        covers = np.full(len(p), width)
-        covers[:-1] = np.where(new[1:], width, np.minimum(width, p[1:] - p[:-1]))
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(covers, first)
-        last = np.append(first[1:], len(p))
-        sizes = np.diff(ix.items.at)
-        for g in np.flatnonzero(total >= coverage * sizes[i[first]]):
-            k = first[g]
-            key = (int(text[k]), int(i[k]))
-            agree, same = _slots(ix, t, key, [(int(start[j]), int(p[j])) for j in range(k, last[g])], width)
-            row = (*key, int(total[g]), int(sizes[i[k]]), int(start[k]), agree, same)
-            if key not in out or (row[5], row[2]) > (out[key][5], out[key][2]):
-                out[key] = row
-    return [out[k] for k in sorted(out)]
-
-
-def _slots(ix: Index, t: Template, key: tuple[int, int], at: list[tuple[int, int]], width: int) -> tuple[bool, bool]:
+    readings = template(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
+    tables = []
+    for t in readings:
+        # an item of enough words may have fewer template words
+        sizes = np.where(np.diff(t.words_at) >= MIN_WORDS, np.diff(t.at), 0)
+        tables.append({})
+        for width in sorted({min(WINDOW, int(s)) for s in sizes if s}):
+            hashes, starts = windows(t, width)
+            item = np.searchsorted(t.at, starts, "right") - 1
+            use = (sizes[item] >= WINDOW) if width == WINDOW else (sizes[item] == width)
+            order = np.argsort(hashes[use], kind="stable")
+            h = hashes[use][order]
+            sieve = np.zeros(1 << FILTER_BITS, bool)
+            sieve[(h >> U(64 - FILTER_BITS)).astype(np.int64)] = True
+            if len(h):
+                tables[-1][width] = (h, starts[use][order], sieve)
+    return Index([i for i, _ in items], readings, tables)
+
+
+#: Columns of a run of matching template words: text, item, words of the text from and to, words of the item from and to, reading, first template word in the text and in the item, template words.
+TEXT, ITEM, T0, T1, P0, P1, READING, A, B, N = range(10)
+
+
+def _runs(ix: Index, t: Template, reading: int, width: int) -> np.ndarray:
+    """Matching windows of one width, joined where they overlap or touch on one diagonal."""
+    hashes, place, sieve = ix.tables[reading][width]
+    found, starts = windows(t, width)
+    maybe = sieve[(found >> U(64 - FILTER_BITS)).astype(np.int64)]
+    found, starts = found[maybe], starts[maybe]
+    a, b = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+    n = b - a
+    if not n.sum():
+        return np.zeros((0, 10), np.int64)
+    y = place[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+    x = np.repeat(starts, n)
+    items = ix.items[reading]
+    text, item = np.searchsorted(t.at, x, "right") - 1, np.searchsorted(items.at, y, "right") - 1
+    order = np.lexsort((y, x - y, item, text))
+    text, item, x, y = text[order], item[order], x[order], y[order]
+    new = np.ones(len(y), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | ((x - y)[1:] != (x - y)[:-1]) | (y[1:] - y[:-1] > width)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(y)) - 1
+    text, item = text[first], item[first]
+    from_text, from_item = t.words_at[text], items.words_at[item]
+    return np.stack([
+        text, item, t.first[x[first]] - from_text, t.first[x[last] + width] - from_text, items.first[y[first]] - from_item, items.first[y[last] + width] - from_item,
+        np.full(len(first), reading), x[first], y[first], y[last] + width - y[first],
+    ], axis=1)
+
+
+def _chains(runs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most words of the item that a chain ending in each run covers, and the run before it (-1: none). A chain's runs
+    increase in the text and the item; its diagonal moves by at most half an item, or a window, from run to run. `runs` is
+    sorted by place in the text."""
+    t0, t1, p0, p1 = (runs[:, k] for k in (T0, T1, P0, P1))
+    near = max(WINDOW, size // 2)
+    best, before = p1 - p0, np.full(len(runs), -1)
+    reach = np.maximum.accumulate(t1)
+    for k in range(1, len(runs)):
+        low = int(np.searchsorted(reach[:k], t0[k] - size - near))
+        j = slice(low, k)
+        overlap = np.maximum(0, np.maximum(p1[j] - p0[k], t1[j] - t0[k]))
+        more = p1[k] - p0[k] - overlap
+        fits = (p0[j] <= p0[k]) & (p1[j] < p1[k]) & (more > 0) & (abs((t1[j] - p1[j]) - (t0[k] - p0[k])) <= near)
+        if fits.any():
+            gain = np.where(fits, best[j] + more, 0)
+            g = int(np.argmax(gain))
+            if gain[g] > best[k]:
+                best[k], before[k] = gain[g], low + g
+    return best, before
+
+
+def matches(ix: Index, readings: list[Template], coverage: float) -> list[tuple[int, int, int, int, int, bool, bool]]:
+    """(text, item, words covered, words of the item, first word in the text, slots agree, values are the same), for each text and item the chain of runs that covers most, if possible one whose slots agree."""
+    runs = np.concatenate([np.zeros((0, 10), np.int64), *[_runs(ix, readings[k], k, width) for k, tables in enumerate(ix.tables) for width in tables]])
+    if not len(runs):
+        return []
+    runs = runs[np.lexsort((runs[:, P0], runs[:, T0], runs[:, ITEM], runs[:, TEXT]))]
+    first = np.flatnonzero(np.append(True, (runs[1:, :2] != runs[:-1, :2]).any(axis=1)))
+    last = np.append(first[1:], len(runs))
+    sizes = np.diff(ix.items[0].words_at)[runs[first, ITEM]]
+    out = []
+    for g in np.flatnonzero(np.add.reduceat(runs[:, P1] - runs[:, P0], first) >= coverage * sizes).tolist():
+        row = _leak(ix, readings, runs[first[g] : last[g]], int(sizes[g]), coverage)
+        if row:
+            out.append(row)
+    return out
+
+
+def _leak(ix: Index, readings: list[Template], runs: np.ndarray, size: int, coverage: float) -> tuple | None:
+    found = None
+    # all runs first, which can cover most; if their slots disagree, each diagonal alone
+    diagonal = np.stack([runs[:, READING], runs[:, A] - runs[:, B]], axis=1)
+    for part in (slice(None), *([(diagonal == d).all(axis=1) for d in np.unique(diagonal, axis=0)] if len(runs) > 1 else [])):
+        some = runs[part]
+        best, before = _chains(some, size)
+        for end in np.argsort(-best, kind="stable").tolist():
+            if best[end] < coverage * size:
+                break
+            chain, k = [], end
+            while k >= 0:
+                chain.append(some[k].tolist())
+                k = int(before[k])
+            agree, same = _slots(ix, readings, chain[::-1])
+            row = (int(some[end, TEXT]), int(some[end, ITEM]), int(best[end]), size, chain[-1][T0], agree, same)
+            if agree:
+                return row
+            found = found or row
+    return found
+
+
+def _slots(ix: Index, readings: list[Template], chain: list[list[int]]) -> tuple[bool, bool]:
     value: dict[tuple[int, int], int] = {}
-    base_text, base_item = int(t.at[key[0]]), int(ix.items.at[key[1]])
     agree = same = True
-    done = -1
-    for start, place in at:
-        for j in range(width):
-            if place + j <= done:
-                continue
-            done = place + j
-            a, b = base_item + place + j, base_text + start + j
-            if ix.items.slot[a]:
-                x, y, kind = int(ix.items.raw[a]), int(t.raw[b]), int(ix.items.code[a])
+    done = 0
+    for run in chain:
+        t, items = readings[run[READING]], ix.items[run[READING]]
+        base = int(items.words_at[run[ITEM]])
+        for k in range(run[N]):
+            a, b = run[B] + k, run[A] + k
+            if items.slot[a] and items.first[a] - base >= done:
+                x, y, kind = int(items.raw[a]), int(t.raw[b]), int(items.code[a])
                 agree &= value.setdefault((kind, x), y) == y
                 same &= x == y
+        done = max(done, run[P1])
     return agree, same
 
 
@@ -196,7 +279,7 @@ RESULT = "doc_id long, item_id long, covered int, item_words int, first_word int
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each document and item that it leaks; first_word counts template words of the document from 0."""
+    """A row for each document and item that it leaks; words are counted before placeholders are merged, first_word from 0."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
