@@ -1,8 +1,8 @@
 """Benchmark leaks, also with other numbers, names or units, by template windows.
 
-Texts become templates: a number becomes a placeholder, so does a unit after a number and a name (a capitalised word that
-does not begin a sentence); other words are lower-cased without the punctuation around them, and words of punctuation
-alone go. Consecutive numbers are one placeholder, and so are consecutive names. Windows of template words are hashed, and
+Texts become templates: a number becomes a placeholder, so does a unit after a number and a name (a capitalised word); other words are lower-cased without the punctuation around them, and words of punctuation
+alone go. A capitalised word that begins a sentence is a plain word in one reading of a text and a name in the other, and
+readings are matched like with like, so that nothing depends on what precedes an item. Consecutive numbers are one placeholder, and so are consecutive names. Windows of template words are hashed, and
 the windows of the documents are joined by hash with those of the benchmark items. Matches of a document and an item are
 runs along diagonals; runs that follow each other in both, on nearby diagonals, are a chain and cover a part of the item.
 The document leaks the item if the part is large enough and the slots agree: one value of the item must always stand for
@@ -35,8 +35,8 @@ COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
-#: Readings of a text.
-READINGS = 1
+#: Readings of a text: a capitalised word that begins a sentence as a plain word, and as a name.
+READINGS = 2
 
 #: Units of measurement that may follow a number.
 UNITS = frozenset(
@@ -114,7 +114,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> list[Template]:
     at = np.concatenate([[0], np.cumsum(keep)])[w.at]
     raw_words = bare[keep]
     out = []
-    for name in (capital & ~begins,):
+    for name in (capital & ~begins, capital):
         code, slot = bare.copy(), (name | measure | number)[keep]
         code[name] = NAME
         code[measure] = UNIT

@@ -24,3 +24,11 @@ def test_diagonals_are_chained(spark):
     scattered = " ".join(words[:12]) + " z" * 500 + " " + " ".join(words[12:24])
     assert leaked(spark, ITEM, values, inserted, deleted, "intro. " + inserted + " z" * 50 + " " + inserted, scattered) == [True, True, True, True, False]
     assert leaked(spark, conflict, two_values) == [False]
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Alice has 5 apples today. Bob has 3 pears left. Carol wants 4 plums more. Dave sold 6 figs too."
+    renamed = item.replace("Alice", "Emma").replace("Bob", "Frank").replace("Carol", "Grace").replace("Dave", "Henry")
+    assert leaked(spark, item, "so " + item, renamed, "intro " + renamed, renamed.replace("has", "had").replace("wants", "took").replace("sold", "hid")) == [True, True, True, False]
+    short = "What is the capital of France?"
+    assert leaked(spark, short, "Question 7 What is the capital of France", "Question 7 What is the capital of Spain", "asked what is the capital of Spain", "What is the price of bread") == [True, True, True, False]
