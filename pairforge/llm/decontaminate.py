@@ -1,18 +1,21 @@
 """Benchmark leaks, also with other numbers, names or units, by template windows.
 
-Texts become templates: a number becomes a placeholder, so does a unit after a number and a name (a capitalised word); other words are lower-cased without the punctuation around them, and words of punctuation
-alone go. A capitalised word that begins a sentence is a plain word in one reading of a text and a name in the other, and
-readings are matched like with like, so that nothing depends on what precedes an item. Consecutive numbers are one placeholder, and so are consecutive names. Windows of template words are hashed, and
-the windows of the documents are joined by hash with those of the benchmark items. Matches of a document and an item are
-runs along diagonals; runs that follow each other in both, on nearby diagonals, are a chain and cover a part of the item.
-The document leaks the item if the part is large enough and the slots agree: one value of the item must always stand for
-one value of the document.
+Texts become templates: a number becomes a placeholder, so does a unit after a number and a name (a capitalised word);
+other words are lower-cased without the punctuation around them, and words of punctuation alone go. Consecutive numbers
+without punctuation between are one placeholder, and so are such names. A capitalised word that begins a sentence is a plain
+word in one reading of a text and a name in another, and readings are matched like with like, so that an item is found
+whatever precedes it. Windows more than half of which are placeholders are matched by their words as they are.
+
+Windows of template words are hashed, and the windows of the documents are joined by hash with those of the benchmark items.
+Matches of a document and an item are runs along diagonals; runs that follow each other in both, on nearby diagonals, are
+a chain and cover a part of the item. The document leaks the item if the part is large enough and the slots agree: one value
+of the item must always stand for one value of the document.
 
 The benchmark is the hash table's side and is taken in blocks of bounded size, each against all documents.
 
 Defined results: null and empty texts match nothing; items with fewer template words than a window are matched as a whole
-if they have at least `MIN_WORDS` words, and otherwise never; repeated rows of documents are reported each; an item id that
-repeats with different texts is reported once for each text, with a null id kept as null.
+if they have at least `MIN_WORDS` words, and otherwise never; where most words are slots, only equal values match; repeated rows of documents
+are reported each; an item id that repeats with different texts is reported once for each text, with a null id kept as null.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
-#: Readings of a text: a capitalised word that begins a sentence as a plain word, and as a name.
-READINGS = 2
+#: Readings of a text: a capitalised word that begins a sentence as a plain word, and as a name; and all words as they are.
+READINGS = 3
 
 #: Units of measurement that may follow a number.
 UNITS = frozenset(
@@ -52,7 +55,7 @@ NUMBER, UNIT, NAME = (int(x) for x in mixed(np.array([1, 2, 3], U)))
 
 @dataclass
 class Template:
-    """Template words of consecutive texts in one reading. Consecutive numbers are one template word, and so are consecutive names."""
+    """Template words of consecutive texts in one reading. Consecutive numbers without punctuation between are one template word, and so are such names."""
 
     code: np.ndarray  #: hash of the template word
     raw: np.ndarray  #: hash of what stands there, for slots
@@ -60,23 +63,24 @@ class Template:
     at: np.ndarray  #: first template word of each text
     first: np.ndarray  #: first word of each template word, and the number of words at the end
     words_at: np.ndarray  #: first word of each text
+    exact: bool = False  #: whether the code is that of the words themselves
 
 
-def _kind(raw: bytes) -> tuple[bytes, bool, bool, bool, bool]:
-    """(lower-cased bare word, is a number, may be a unit, is capitalised, ends a sentence)."""
+def _kind(raw: bytes) -> tuple[bytes, bool, bool, bool, bool, bool]:
+    """(lower-cased bare word, is a number, may be a unit, is capitalised, ends a sentence, ends in punctuation)."""
     if raw.isalpha() and raw.islower():  # most words: ASCII letters only
-        return raw, False, raw in UNIT_BYTES, False, False
+        return raw, False, raw in UNIT_BYTES, False, False, False
     word = raw.decode(errors="replace")
     bare = word.strip(EDGE)
     low = bare.lower()
     number = bool(bare) and bare[0].isdigit() and all(c.isdigit() or c in ".,:/-^" for c in bare)
     capital = len(bare) > 1 and bare[0].isupper() and not bare.isupper()
-    return low.encode(), number, low in UNITS or word in UNITS, capital, word[-1:] in ".!?:" or word[-2:-1] in ".!?"
+    return low.encode(), number, low in UNITS or word in UNITS, capital, word[-1:] in ".!?:" or word[-2:-1] in ".!?", word[-1:] in EDGE
 
 
-def _reading(code: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray) -> Template:
+def _reading(code: np.ndarray, raw: np.ndarray, slot: np.ndarray, at: np.ndarray, apart: np.ndarray) -> Template:
     joins = np.zeros(len(code), bool)
-    joins[1:] = slot[1:] & slot[:-1] & (code[1:] == code[:-1])
+    joins[1:] = slot[1:] & slot[:-1] & (code[1:] == code[:-1]) & ~apart[1:]
     joins[at[:-1][np.diff(at) > 0]] = False
     first = np.append(np.flatnonzero(~joins), len(code))
     value = raw[first[:-1]]
@@ -99,7 +103,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> list[Template]:
     ends = np.cumsum(length)
     line = np.frombuffer(b"".join(low) or b" ", np.uint8).astype(U) + U(1)
     bare = run_hashes(line, ends - length, ends)
-    number, unit, capital, stop = (np.fromiter((k[i] for k in kinds), bool, len(kinds))[which] for i in range(1, 5))
+    number, unit, capital, stop, closed = (np.fromiter((k[i] for k in kinds), bool, len(kinds))[which] for i in range(1, 6))
     # a line break also ends a sentence; it stands between the words
     begins = np.ones(len(which), bool)
     breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
@@ -113,25 +117,31 @@ def template(data: np.ndarray, offsets: np.ndarray) -> list[Template]:
     keep = (length[which] > 0) | measure
     at = np.concatenate([[0], np.cumsum(keep)])[w.at]
     raw_words = bare[keep]
+    # a placeholder is not joined to one before punctuation; words of punctuation alone count too
+    apart = np.ones(len(keep), bool)
+    apart[1:] = closed[:-1]
+    apart = apart[keep]
     out = []
     for name in (capital & ~begins, capital):
         code, slot = bare.copy(), (name | measure | number)[keep]
         code[name] = NAME
         code[measure] = UNIT
         code[number] = NUMBER
-        out.append(_reading(code[keep], raw_words, slot, at))
+        out.append(_reading(code[keep], raw_words, slot, at, apart))
+    # the words as they are, of which only windows crowded with slots are used: what the last reading leaves out
+    out.append(Template(raw_words, raw_words, slot, at, np.arange(len(slot) + 1), at, True))
     return out
 
 
 def windows(t: Template, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first words) of windows of `width` template words, at least half of which are no slots."""
+    """(hashes, first words) of windows of `width` template words, at least half of which are no slots; of words as they are, of all other windows."""
     n = len(t.code)
     if n < width:
         return np.zeros(0, U), np.zeros(0, np.int64)
     starts = np.arange(n - width + 1)
     text_end = np.repeat(t.at[1:], np.diff(t.at))
     slots = np.concatenate([[0], np.cumsum(t.slot)])
-    starts = starts[(starts + width <= text_end[starts]) & (2 * (slots[starts + width] - slots[starts]) <= width)]
+    starts = starts[(starts + width <= text_end[starts]) & ((2 * (slots[starts + width] - slots[starts]) > width) == t.exact)]
     return run_hashes(t.code, starts, starts + width, 0xA0761D6478BD642F), starts
 
 

@@ -32,3 +32,12 @@ def test_names_that_begin_sentences(spark):
     assert leaked(spark, item, "so " + item, renamed, "intro " + renamed, renamed.replace("has", "had").replace("wants", "took").replace("sold", "hid")) == [True, True, True, False]
     short = "What is the capital of France?"
     assert leaked(spark, short, "Question 7 What is the capital of France", "Question 7 What is the capital of Spain", "asked what is the capital of Spain", "What is the price of bread") == [True, True, True, False]
+
+
+def test_items_full_of_slots(spark):
+    numbers = "12 + 30 - 4 = 38"
+    assert leaked(spark, numbers, numbers, "so " + numbers + " holds", "so 7 12 + 30 - 4 = 38", "12 + 31 - 4 = 39") == [True, True, True, False]
+    people = "Present were: Alice Smith, Bob Jones, Carol White, Dave Brown, Erin Black, Frank Green"
+    assert leaked(spark, people, people, "on that day " + people + " and others", people.replace("Smith", "Gray").replace("White", "Blue").replace("Green", "Reed")) == [True, True, False]
+    values = "5 kg 12 m 3 s 40 km 7 h 9 g rest of it all"
+    assert leaked(spark, values, "see " + values + " there") == [True]
