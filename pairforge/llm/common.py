@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: What separates words, and what a word is.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Whether shuffle files go when their query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; one of our own only where none is set and one machine does all, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or _own_dir()).rstrip("/")
 
 
@@ -32,11 +37,17 @@ def _own_dir() -> str:
 def written(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: computed once, and no executor's loss can undo it.
 
-    The table goes when it is discarded, or else when the application ends.
+    The shuffle files behind it go with the write, as nothing will read them again; the table goes when it is discarded,
+    or else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
