@@ -39,7 +39,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the given tables hold no images, so the vectors of `embeddings`, 8 by 8, stand in as grey pictures
+    # the given tables hold no images, so the vectors of `embeddings` stand in as mixtures of fixed textures
     groups = media.copy_groups(table(spark, sf_dir, "embeddings"), id_column="vec_id", image_column="embedding", to_image=media.render)
     return groups.withColumnRenamed("image_id", "vec_id")
 
