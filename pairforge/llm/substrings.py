@@ -14,8 +14,9 @@ duplicate if the smallest document that has it comes earlier.
 Only anchors, the words around shared ones, and texts of documents with shared anchors travel. Documents of equal text
 are settled first, by the text's hash: the copies are duplicates throughout, and only the first is parsed.
 
-Defined results: a null text has no words; a null id comes after all ids, nothing is removed from it and it removes
-nothing; equal rows are reported each. Ids are to be unique among different texts.
+Defined results: a null or empty text has no words; a null id comes after all ids, nothing is removed from it and it removes
+nothing; equal rows are reported each; a very long text is read whole; an empty table gives no rows. Ids are to be unique
+among different texts.
 """
 
 from __future__ import annotations
@@ -221,7 +222,8 @@ def duplicate_spans(docs: DataFrame, profiles: DataFrame, *, span: int = SPAN, a
     firsts = written(profiles.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= span)).groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     parsed = docs.join(F.broadcast(firsts) if firsts.count() <= FEW else firsts, "doc_id", "left_semi")
     found = written(parsed.mapInArrow(_anchored(span, anchor), "anchor long, doc_id long, pos int, link long"))
-    index = found.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "link")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("anchor", "ref")
+    # written, so that the join below may split an anchor that very many documents have
+    index = written(found.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos", "link")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last").select("anchor", "ref"))
     shared = found.join(index, "anchor").select(
         "doc_id",
         F.struct(
@@ -244,7 +246,7 @@ def duplicate_spans(docs: DataFrame, profiles: DataFrame, *, span: int = SPAN, a
     runs = spans.withColumn("new", F.when(reach >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc_id", "run").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
     out = written(merged.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "end")).alias("spans")))
-    discard(firsts, found, by_doc, opened, first)
+    discard(firsts, found, index, by_doc, opened, first)
     return out
 
 
