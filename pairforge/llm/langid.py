@@ -4,9 +4,10 @@ The field's labels are the languages of labelled documents. It is trained on sho
 one after another, so that it learns how seldom a language changes from word to word. A text's language is the one with
 the largest sum of word marginals.
 
-Fitting uses a bounded sample (`per_class` documents of each language, `chars` characters of each); prediction reads whole
-texts. Defined results: a null text, a text without letters, and any text where nothing could be learned are `und` with
-score 0; ties go to the language that sorts first.
+Fitting uses a bounded sample of rows (`per_class` documents of each language, whole texts); prediction reads whole texts.
+Defined results: a null or empty text, a text without letters, and any text where nothing could be learned are `und` with
+score 0; ties go to the language that sorts first; repeated rows are predicted each, a null id like any other; an empty
+table gives no rows; a very long text is read whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ from pairforge.llm.common import importable
 from pairforge.llm.kernel import slices
 from pairforge.llm.training import remainder, sample
 
-PER_CLASS = 200
-CHARS = 1500
+PER_CLASS = 100
 #: Words of a training passage in one language.
 PASSAGE = 12
 FOLD = (4, 2)
@@ -32,11 +32,11 @@ HAS_ASCII_LETTER = np.zeros(256, bool)
 HAS_ASCII_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 
-def fit(docs: DataFrame, *, per_class: int = PER_CLASS, chars: int = CHARS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rounds: int = 30, seed: int = 3) -> crf.Crf | None:
+def fit(docs: DataFrame, *, per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", rounds: int = 30, seed: int = 3) -> crf.Crf | None:
     """None where no document has a language."""
     known = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).alias("label"))
     known = known.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), fold[0]) != fold[1]))
-    rows, _ = sample(docs, known, per_class, chars, id_column=id_column, text_column=text_column)
+    rows, _ = sample(docs, known, per_class, id_column=id_column, text_column=text_column)
     passages = []
     for _, label, text in rows:
         parts = text.split()

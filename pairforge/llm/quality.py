@@ -4,9 +4,10 @@ Two zstandard dictionaries are built from labelled good and bad text. A document
 with either dictionary, and the difference of the compressed sizes, summed over the whole text and divided by its bytes,
 is mapped to a probability by logistic calibration on labelled documents that the dictionaries have not seen.
 
-Fitting uses a bounded sample (`per_class` documents of each label, `chars` characters of each); scoring reads whole
-texts. Defined results: null and empty texts get the calibrated score of a difference of zero; without both labels the
-score is the smoothed share of label 1; a null id is in no held-out fold.
+Fitting uses a bounded sample of rows (`per_class` documents of each label, whole texts); scoring reads whole texts, very
+long ones too. Defined results: null and empty texts get the calibrated score of a difference of zero; without both labels
+the score is the smoothed share of label 1; a null id is in no held-out fold; repeated rows are scored each; a score equal
+to the threshold is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pairforge.llm.common import free_name, importable
 from pairforge.llm.training import labelled, remainder, sample
 
 PER_CLASS = 1500
-CHARS = 20_000
 CHUNK = 1024
 LEVEL = 3
 DICTIONARY_BYTES = 65_536
@@ -94,8 +94,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(theta[0]), float(theta[1] / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, chars: int = CHARS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text") -> QualityModel:
-    rows, counts = sample(docs, labelled(docs, labels, "quality", fold), per_class, chars, id_column=id_column, text_column=text_column)
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text") -> QualityModel:
+    rows, counts = sample(docs, labelled(docs, labels, "quality", fold), per_class, id_column=id_column, text_column=text_column)
     texts = {c: [t.encode() for _, label, t in rows if label == c] for c in (0, 1)}
     if min(map(len, texts.values())) < 2:
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -136,13 +136,14 @@ def _scorer(shared) -> Scorer:
     return _scorers[shared]
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = FOLD, **options) -> DataFrame:
+def quality_report(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, fold=fold, **options))
+    model = fit(docs, labels, fold=fold, id_column=id_column, text_column=text_column, **options)
+    scored = score(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")), model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), fold[0]) == fold[1]).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, with their columns."""
     column = free_name(docs, "_score")
-    return score(docs, fit(docs, labels, **options), column=column).where(F.col(column) >= threshold).drop(column)
+    return score(docs, fit(docs, labels, id_column=id_column, text_column=text_column, **options), text_column=text_column, column=column).where(F.col(column) >= threshold).drop(column)

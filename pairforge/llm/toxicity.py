@@ -5,9 +5,11 @@ if it, or a beginning of it, occurs in toxic documents well beyond chance and ha
 toxic words follow one another, and gives every word of a text a marginal. A document's score is a calibrated function
 of the expected number of toxic words and of the largest marginal; runs of words above a marginal are its spans.
 
-Fitting uses a bounded sample (`per_class` documents of each label, `chars` characters of each); scoring reads whole
-texts. Defined results: null and empty texts have no toxic words and get the calibrated score of none; where there are no
-labels of both kinds, or no word sets them apart, the score is the smoothed share of label 1.
+Fitting uses bounded samples of rows, whole texts: `per_class` documents of each label tell which words are toxic and
+calibrate, and all words of the first `taught` of each train the field. Scoring reads whole texts, very long ones too.
+Defined results: null and empty texts have no toxic words and get the calibrated score of none; where there are no labels
+of both kinds, or no word sets them apart, the score is the smoothed share of label 1; repeated rows are scored each; a
+score equal to the threshold is toxic; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,16 +28,15 @@ from pairforge.llm.common import importable
 from pairforge.llm.kernel import slices, words
 from pairforge.llm.training import labelled, remainder, sample
 
-PER_CLASS = 1200
-CHARS = 6000
+PER_CLASS, TAUGHT = 1200, 300
 FOLD = (4, 2)
 THRESHOLD = 0.3
 #: A toxic stem: in at least so many of the sample's toxic documents, at such a share of all documents that have it (were
 #: both kinds as frequent), and so many letters long unless it is a whole word.
 LEAST_DOCS, PRECISION, STEM = 4, 0.9, 5
-#: Words around a toxic word that the field is trained on, so that most of its training text is to the point.
-CONTEXT = 8
 SPAN_AT = 0.5
+#: How strongly weights are pulled towards 0, against the training words' likelihood.
+PULL = 5.0
 #: Marginals below this add nothing to a document, however long.
 COUNT_AT = 0.2
 
@@ -98,11 +99,11 @@ def marks(model: crf.Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return largest, total[w.at[1:]] - total[w.at[:-1]], p, w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, chars: int = CHARS, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", rounds: int = 30) -> ToxicityModel:
-    return fit_rows(*sample(docs, labelled(docs, labels, "toxic", fold), per_class, chars, id_column=id_column, text_column=text_column), rounds)
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, taught: int = TAUGHT, fold: tuple[int, int] = FOLD, id_column: str = "doc_id", text_column: str = "text", rounds: int = 30) -> ToxicityModel:
+    return fit_rows(*sample(docs, labelled(docs, labels, "toxic", fold), per_class, id_column=id_column, text_column=text_column), taught, rounds)
 
 
-def fit_rows(rows: list[tuple[int, object, str]], counts: dict, rounds: int = 30) -> ToxicityModel:
+def fit_rows(rows: list[tuple[int, object, str]], counts: dict, taught: int = TAUGHT, rounds: int = 30, pull: float = PULL) -> ToxicityModel:
     """The model from (id, label, text) and the number of all rows of each label."""
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     prior = ToxicityModel(None, math.log(share / (1 - share)), 0.0, 0.0)
@@ -110,18 +111,16 @@ def fit_rows(rows: list[tuple[int, object, str]], counts: dict, rounds: int = 30
     if not bad:
         return prior
     texts, gold = [], []
-    for k, (_, label, text) in enumerate(rows):
-        parts = text.split()
-        flags = [label == 1 and _is_toxic(x, bad) for x in parts]
-        near = [any(flags[max(0, i - CONTEXT) : i + CONTEXT + 1]) for i in range(len(parts))] if label else [(i // 16 + k) % 8 == 0 for i in range(len(parts))]
-        if any(near):
-            texts.append(" ".join(x for x, ok in zip(parts, near, strict=True) if ok))
-            gold += [int(g) for g, ok in zip(flags, near, strict=True) if ok]
+    for wanted in (0, 1):
+        for text in [t for _, label, t in rows if label == wanted][:taught]:
+            parts = text.split()
+            texts.append(" ".join(parts))
+            gold += [int(wanted == 1 and _is_toxic(x, bad)) for x in parts]
     data, offsets = crf.joined(texts)
     # str.split also parts at blanks beyond the six, so the words are counted again
     if len(words(data, offsets).starts) != len(gold):
         raise AssertionError("training words and labels differ in number")
-    field = crf.train(crf.Crf.zero([0, 1]), data, offsets, np.array(gold), rounds=rounds)
+    field = crf.train(crf.Crf.zero([0, 1]), data, offsets, np.array(gold), rounds=rounds, pull=pull / len(gold))
     data, offsets = crf.joined([t for _, _, t in rows])
     largest, expected, _, _ = marks(field, data, offsets)
     y = np.array([float(label) for _, label, _ in rows])
@@ -182,6 +181,6 @@ def _spans(p: np.ndarray, w, data: np.ndarray, offsets: np.ndarray) -> list[list
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, fold: tuple[int, int] = FOLD, **options) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row."""
-    found = tag(docs, fit(docs, labels, fold=fold, **options))
-    return found.select("doc_id", (remainder(F.col("doc_id"), fold[0]) == fold[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    """doc_id, held_out, score, predicted and spans (start, end, marginal; offsets in characters) of every row."""
+    found = tag(docs, fit(docs, labels, fold=fold, **options), **{k: v for k, v in options.items() if k in ("id_column", "text_column")})
+    return found.select("doc_id", (remainder(F.col("doc_id"), fold[0]) == fold[1]).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

@@ -18,11 +18,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, fold: tuple[int, i
     return rows.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), fold[0]) != fold[1]))
 
 
-def sample(docs: DataFrame, rows: DataFrame, per_class: int, chars: int, *, id_column: str = "doc_id", text_column: str = "text") -> tuple[list[tuple[int, object, str]], dict]:
-    """At most `per_class` documents of each label as (doc_id, label, the text's first `chars` characters), and each label's count.
+def sample(docs: DataFrame, rows: DataFrame, per_class: int, *, id_column: str = "doc_id", text_column: str = "text") -> tuple[list[tuple[int, object, str]], dict]:
+    """At most `per_class` documents of each label as (doc_id, label, whole text), and each label's count.
 
-    rows: (doc_id, label). The choice depends on ids alone. What reaches the driver is bounded by both parameters and the
-    number of labels.
+    rows: (doc_id, label). The choice depends on ids alone, so reruns agree. The rows that reach the driver are bounded by
+    `per_class` and the number of labels. Copies of a text count once; null texts are not chosen; an empty table gives no rows.
     """
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -32,8 +32,9 @@ def sample(docs: DataFrame, rows: DataFrame, per_class: int, chars: int, *, id_c
     for label, n in counts.items():
         share = F.when(F.col("label") == F.lit(label), F.lit(min(1.0, 1.1 * per_class / n + 10 / n))).otherwise(share)
     draw = uniform(F.lit(5), F.col("doc_id"))
-    picked = rows.withColumn("draw", draw).where(F.col("draw") < share).limit(int(len(counts) * (1.5 * per_class + 60)))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.substring(F.col(text_column), 1, chars).alias("text")).where(F.col("text").isNotNull())
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < share)
+    picked = picked.orderBy("draw", "doc_id", "label").limit(int(len(counts) * (1.5 * per_class + 60)))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
     # the sample's ids are bounded by the parameters
     got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text", "draw").collect()
     out, seen, used = [], set(), dict.fromkeys(counts, 0)

@@ -104,7 +104,8 @@ def test_toxicity(docs, labels, spark):
     assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (remainder(r.doc_id, 4) == 2) for r in got)
     assert accuracy(got, labels, "toxic", 0.3) > 0.9
     r = toxicity.tag(spark.createDataFrame([(1, "Ünder the and you worthless idiot thon the")], "doc_id long, text string"), model).first()
-    assert [r2["start"] for r2 in map(lambda s: s.asDict(), r.spans)][:1] and any("idiot" in "Ünder the and you worthless idiot thon the"[s.start : s.end] for s in r.spans)
+    assert [(x.start, x.end) for x in r.spans] == [(18, 33)] and r.spans[0].marginal > 0.8
+    assert any("idiot" in "Ünder the and you worthless idiot thon the"[s.start : s.end] for s in r.spans)
     assert toxicity.toxicity_report(docs, labels.where("doc_id < -1")).first().score == pytest.approx(0.5)
     assert toxicity.toxicity_report(docs.where("doc_id < -1"), labels).count() == 0
 
