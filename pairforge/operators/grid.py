@@ -12,9 +12,15 @@ PADDING = 0.001
 
 
 def extent(items: DataFrame, strips: int = DEFAULT_STRIPS) -> DataFrame:
-    """One row (strips, x_min, x_max, y_min, y_max), padded. All null but strips for no items."""
+    """One row (strips, x_min, x_max, y_min, y_max), padded, of the finite coordinates; 0 where an axis has none. All null but strips for no items."""
     s = F.col("signature")
-    raw = items.agg(F.min(s.x_min).alias("a"), F.max(s.x_max).alias("b"), F.min(s.y_min).alias("c"), F.max(s.y_max).alias("d"))
+
+    def end(of, low: Column, high: Column) -> Column:
+        # the other end of a box that is open at one side is still a place
+        finite = [F.when(F.abs(v) < F.lit(float("inf")), v) for v in (low, high)]
+        return F.coalesce(of(F.least(*finite) if of is F.min else F.greatest(*finite)), F.when(F.count(low) > 0, F.lit(0.0)))
+
+    raw = items.agg(end(F.min, s.x_min, s.x_max).alias("a"), end(F.max, s.x_min, s.x_max).alias("b"), end(F.min, s.y_min, s.y_max).alias("c"), end(F.max, s.y_min, s.y_max).alias("d"))
     w, h = (F.col("b") - F.col("a")) * PADDING, (F.col("d") - F.col("c")) * PADDING
     return raw.select(
         F.lit(strips).alias("strips"), (F.col("a") - w).alias("x_min"), (F.col("b") + w).alias("x_max"), (F.col("c") - h).alias("y_min"), (F.col("d") + h).alias("y_max")
@@ -54,9 +60,10 @@ class Grid:
         return cls.from_text(spark.read.text(path).first().value)
 
     def _index(self, v: Column, low: float, high: float) -> Column:
-        """Column or row of a coordinate, clamped, so items outside the extent share the outermost cells."""
+        """Column or row of a coordinate, clamped, so items outside the extent, also infinite ones, share the outermost cells."""
         if high == low:
             return F.lit(0)
+        v = F.least(F.greatest(v, F.lit(low)), F.lit(high))
         at = ((v - F.lit(low)) * F.lit(float(self.strips)) / F.lit(high - low)).cast("int")
         return F.least(F.greatest(at, F.lit(0)), F.lit(self.strips - 1))
 

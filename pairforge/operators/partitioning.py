@@ -25,9 +25,10 @@ def split_sizes(counts: DataFrame, target: int, slop: float = 1.1) -> DataFrame:
     return counts.withColumn("n_splits", F.greatest(F.lit(1), F.ceil(F.col("n_records") / F.lit(target) - F.lit(slop - 1))).cast("long"))
 
 
-def salted_by_size(replicas: DataFrame, splits: DataFrame) -> DataFrame:
-    """Splits each cell into the number of parts that `split_sizes` gives it, so that small cells stay whole."""
-    return replicas.join(splits.select("cell", "n_splits"), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_splits"))).drop("n_splits")
+def salted_by_size(replicas: DataFrame, splits: DataFrame, *, keep: bool = False) -> DataFrame:
+    """Splits each cell into the number of parts that `split_sizes` gives it, so that small cells stay whole. With `keep` n_splits stays."""
+    out = replicas.join(splits.select("cell", "n_splits"), "cell").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_splits")))
+    return out if keep else out.drop("n_splits")
 
 
 def split_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Staged execution: each stage is written as Parquet and skipped when a finished one of the same plan is found."""
+"""Staged execution: each stage is written as Parquet and skipped when a finished one of the same plan over the same input is found."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairforge.operators.join import clone_join, refine, signature_join
-from pairforge.plans.spec import JoinSpec
+from pairforge.operators.join import refine
+from pairforge.plans.spec import JoinSpec, join_items
 
 
 def stage_name(name: str, number: int, what: str) -> str:
@@ -18,25 +20,30 @@ class StagedRun:
     def __init__(self, spark: SparkSession, workdir: str, spec: JoinSpec):
         self.spark, self.workdir, self.spec = spark, workdir.rstrip("/"), spec.plan()
         self.ran: list[str] = []
+        self.digest = self.spec.digest()
 
     def stage(self, number: int, what: str, make) -> DataFrame:
         path = f"{self.workdir}/{stage_name(self.spec.name, number, what)}"
         done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_plan")
         fs = done.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not (fs.exists(done) and self.spark.read.text(f"{path}/_plan/digest").first().value == self.spec.digest()):
+        if not (fs.exists(done) and self.spark.read.text(f"{path}/_plan/digest").first().value == self.digest):
+            fs.delete(done, True)
             make().write.mode("overwrite").parquet(f"{path}/data")
             # written last: without it the stage does not count as finished
-            self.spark.createDataFrame([(self.spec.digest(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_plan/digest")
+            self._line(f"{path}/_plan/spec", json.dumps(self.spec.describe(), sort_keys=True))
+            self._line(f"{path}/_plan/digest", self.digest)
             self.ran.append(what)
         return self.spark.read.parquet(f"{path}/data")
 
+    def _line(self, path: str, text: str) -> None:
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
     def run(self, df: DataFrame) -> DataFrame:
         spec, items = self.spec, self.spec.build(df)
-        cells, pairs = spec.cells(items), spec.pairs(items) if spec.pairs else None
-        if spec.algorithm == "clone":
-            signature = spec.accept_signature if spec.has_signature else spec.accept_payload
-            return self.stage(1, "PartitionJoin", lambda: clone_join(items, cells, signature, spec.accept_payload, pairs=pairs, with_payload=spec.with_payload, distinct=not spec.skip_dedup))
-        candidates = self.stage(1, "PartitionJoin", lambda: signature_join(items, cells, spec.accept_signature, pairs=pairs))
+        self.digest = spec.digest(df)
+        if spec.algorithm == "clone" or spec.handler is not None:
+            return self.stage(1, "PartitionJoin", lambda: join_items(items, spec, "clone"))
+        candidates = self.stage(1, "PartitionJoin", lambda: join_items(items, spec, "signature"))
         return self.stage(2, "RefinementJoin", lambda: refine(candidates, items, spec.accept_payload, with_payload=spec.with_payload))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairforge.functions import predicates as P, text as T
 from pairforge.functions.regions import parse_region, usable_regions
 from pairforge.operators import grid as G, join as J, partitioning as K
-from pairforge.plans.spec import JoinSpec
+from pairforge.plans.spec import JoinSpec, run_join
 from pairforge.queries import fixtures as X
 from pairforge.sources.synthetic import synthetic_regions
 
@@ -116,6 +116,25 @@ def join_shadow(spark, sf_dir):
     return out.select("id_l", "id_r", F.col("payload_l.num_points").alias("n_l"), F.col("payload_r.num_points").alias("n_r"), F.col("payload_l.x")[0].alias("x_l"), F.col("payload_r.x")[0].alias("x_r"))
 
 
+@query(f"WITH {R1}, {EXTENT}, {CELLS} SELECT l.id AS id_l, r.id AS id_r FROM c l JOIN c r ON l.cell = r.cell AND l.id < r.id AND {OVERLAP} AND l.num_points = r.num_points")
+def join_shadow_bag(spark, sf_dir):
+    def cells(items):
+        return G.Grid.of(items).cells(SIG("signature"))
+
+    spec = JoinSpec("Bag", build=usable_regions, cells=cells, has_signature=True, accept_signature=P.mbr_intersects, accept_payload=P.same_num_points, algorithm="shadow", skip_dedup=True)
+    return run_join(X.polygons(spark, sf_dir), spec)
+
+
+@query(f"WITH {R1} {BRUTE} AND l.num_points = r.num_points")
+def join_split(spark, sf_dir):
+    """Crowded cells are split by their statistics and joined part by part."""
+    def cells(items):
+        return G.Grid.of(items).cells(SIG("signature"))
+
+    spec = JoinSpec("Split", build=usable_regions, cells=cells, has_signature=True, pairs=lambda items: G.cell_pairs(items.sparkSession), accept_signature=P.mbr_intersects, accept_payload=P.same_num_points, split_rows=50)
+    return run_join(X.polygons(spark, sf_dir), spec)
+
+
 @query(f"WITH {R1}, {EXTENT}, {CELLS} SELECT DISTINCT l.id AS id_l, r.id AS id_r FROM c l JOIN c r ON l.cell = r.cell AND l.id < r.id AND l.num_points = r.num_points")
 def join_payload(spark, sf_dir):
     items, grid = gridded(spark, sf_dir)
@@ -147,7 +166,8 @@ def hashed(items: DataFrame) -> F.Column:
 @query("SELECT l.c_custkey AS id_l, r.c_custkey AS id_r FROM customer l JOIN customer r ON l.c_custkey < r.c_custkey AND l.c_nationkey = r.c_nationkey AND l.c_mktsegment = r.c_mktsegment")
 def equality_join(spark, sf_dir):
     items = X.customers(spark, sf_dir)
-    return J.clone_join(items, hashed(items), P.same_signature, P.same_payload)
+    # one cell each, so no pair is found twice
+    return J.clone_join(items, hashed(items), P.same_signature, P.same_payload, distinct=False)
 
 
 @query("SELECT l.doc_id AS id_l, r.doc_id AS id_r FROM documents l JOIN documents r ON l.doc_id < r.doc_id AND l.lang = r.lang AND l.n_chars = r.n_chars AND l.text = r.text")
@@ -155,7 +175,7 @@ def text_exact_dups(spark, sf_dir):
     # the payload's hash rides in the signature, so the candidates are the result but for collisions, and texts are
     # fetched for those alone
     items = X.texts(spark, sf_dir).withColumn("signature", F.struct("signature", F.xxhash64("payload")))
-    return J.shadow_join(items, hashed(items), P.same_signature, P.same_payload)
+    return J.shadow_join(items, hashed(items), P.same_signature, P.same_payload, distinct=False)
 
 
 TEXT_R2 = """t AS (SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x1, (p_partkey % 100) + 1.5::DOUBLE AS x2,

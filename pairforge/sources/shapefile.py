@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairforge.functions.regions import region_items
 
@@ -22,6 +22,7 @@ WITH_M = WITH_Z | {21, 23, 25, 28}
 FILE_CODE, VERSION = 9994, 1000
 #: Ids of regions: shape and part share one long.
 FIRST_SHAPE, PARTS_PER_SHAPE = 10**10, 10**6
+MOST_FILES = 900
 
 SHAPE_SCHEMA = "path string, record int, shape_type int, parts array<int>, x array<double>, y array<double>, z array<double>, m array<double>"
 
@@ -131,14 +132,21 @@ def shape_records(shapes: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def shape_regions(shapes: DataFrame) -> DataFrame:
-    """Each part of each shape as a region item; shapes without parts give none."""
-    part = shapes.where(F.size("parts") > 0).select("record", "parts", "x", "y", F.posexplode("parts").alias("part", "start"))
+    """Each part of each shape as a region item; shapes without parts give none.
+
+    Ids number the file (in the order of paths), the shape and the part, so that they are unique over several files.
+    """
+    # a row a file
+    order = Window.orderBy("path")
+    files = shapes.select("path").distinct().select("path", (F.row_number().over(order) - 1).cast("long").alias("file"))
+    fits = F.when((F.col("file") >= MOST_FILES) | (F.col("record") >= FIRST_SHAPE), F.raise_error(F.lit("too many shapefiles for the ids")).cast("long")).otherwise(F.col("file"))
+    part = shapes.where(F.size("parts") > 0).join(files, "path").select(fits.alias("file"), "record", "parts", "x", "y", F.posexplode("parts").alias("part", "start"))
     end = F.when(F.col("part") + 1 < F.size("parts"), F.get("parts", F.col("part") + 1)).otherwise(F.size("x"))
     n = end - F.col("start")
     too_many = F.when(F.size("parts") >= PARTS_PER_SHAPE, F.raise_error(F.lit("a shape has too many parts for its ids")).cast("long")).otherwise(F.lit(0).cast("long"))
     return region_items(
         part.where(n > 0).select(
-            ((F.lit(FIRST_SHAPE) + F.col("record")) * PARTS_PER_SHAPE + F.col("part") + too_many).alias("id"),
+            ((F.lit(FIRST_SHAPE) * (F.col("file") + 1) + F.col("record")) * PARTS_PER_SHAPE + F.col("part") + too_many).alias("id"),
             n.cast("int").alias("num_points"),
             F.slice("x", F.col("start") + 1, n).alias("x"),
             F.slice("y", F.col("start") + 1, n).alias("y"),

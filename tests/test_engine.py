@@ -120,6 +120,72 @@ def test_resume(spark, tmp_path):
     assert stage_name("a", 5, "b") == "a-Stage-05-b"
 
 
+def test_resume_on_other_input(spark, tmp_path):
+    """Other rows, other files under the same path and other code are not taken for a finished run."""
+    polygons = X.polygons(spark, SF)
+    polygons.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.read.parquet(str(tmp_path / "in"))
+    go = lambda df, **kw: (run := StagedRun(spark, str(tmp_path / "work"), overlap_spec(**kw)), run.run(df).count(), run.ran)[1:]
+    assert go(read()) == (755, ["PartitionJoin", "RefinementJoin"])
+    assert go(read()) == (755, [])
+    half = run_join(read().where("id % 2 = 0"), overlap_spec()).count()
+    assert go(read().where("id % 2 = 0"))[0] == half < 755
+    assert go(read())[0] == 755
+    polygons.where("id % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "in"))
+    spark.catalog.refreshByPath(str(tmp_path / "in"))
+    assert go(read())[0] == half
+    digests = {JoinSpec("x", build=f, cells=len, has_signature=True).digest() for f in (lambda d: d.where("id > 1"), lambda d: d.where("id > 2"))}
+    assert len(digests) == 2
+    assert "accept_signature" in spark.read.text(str(tmp_path / "work/Overlap-Stage-01-PartitionJoin/_plan/spec")).first().value
+
+
+def test_bag_under_shadow(spark, tmp_path):
+    items = X.polygons(spark, SF)
+    n = {a: run_join(items, overlap_spec(algorithm=a, skip_dedup=True)).count() for a in ("clone", "shadow")}
+    assert n["clone"] == n["shadow"] > 755
+    assert StagedRun(spark, str(tmp_path), overlap_spec(algorithm="shadow", skip_dedup=True)).run(items).count() == n["shadow"]
+
+
+def test_split_in_the_plan(spark):
+    items = X.polygons(spark, SF)
+    for kw in ({}, {"pairs": lambda d: G.cell_pairs(spark)}, {"algorithm": "clone"}, {"task_slots": 9}):
+        for split in (1, 20, 10**6):
+            assert rows(run_join(items, overlap_spec(split_rows=split, **kw))) == rows(run_join(items, overlap_spec()))
+    assert run_join(items, overlap_spec(split_rows=20, skip_dedup=True)).count() == run_join(items, overlap_spec(skip_dedup=True)).count()
+    # a cell with nearly all rows
+    crowded = items.withColumn("signature", F.struct(F.lit(0.0).alias("x_min"), F.when(F.col("id") == 0, 9.0).otherwise(0.5).alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(0.5).alias("y_max")))
+    replicas = K.replicate(crowded.select("id", "signature"), F.array(F.lit(7).cast("long")))
+    n = replicas.count()
+    assert J.block_join(replicas, P.mbr_intersects, split_rows=30).distinct().count() == n * (n - 1) // 2
+    with pytest.raises(ValueError, match="split_rows"):
+        overlap_spec(split_rows=0).plan()
+
+
+def test_handler_in_the_plan(spark):
+    import pandas as pd
+
+    def ids(pdf):
+        return pd.DataFrame({"cell": pdf["cell"][:1], "n": [len(pdf)]})
+
+    spec = overlap_spec(handler=ids, handler_schema="cell long, n long")
+    items = X.polygons(spark, SF)
+    assert rows(run_join(items, spec)) == rows(K.partition_counts(K.replicate(items, spec.cells(items))))
+    with pytest.raises(ValueError, match="handler"):
+        overlap_spec(handler=ids).plan()
+
+
+def test_infinite_coordinates(spark):
+    lines = [*LINES, "7,2,0.2,0.2,Infinity,0.4", "8,2,-Infinity,-Infinity,Infinity,Infinity", "9,1,NaN,0", "10,2,5,5,6,6"]
+    items = usable_regions(parse_region(spark.createDataFrame([(x,) for x in lines], "value string")))
+    a, b = items.alias("a"), items.alias("b")
+    want = rows(a.join(b, (F.col("a.id") < F.col("b.id")) & P.mbr_intersects("a", "b")).select("a.id", "b.id"))
+    assert (8, 10) in want and (7, 8) in want
+    for n in (1, 3, 8):
+        assert rows(J.refpoint_join(items, G.Grid.of(items, n), P.mbr_intersects)) == want
+    endless = items.where("id = 8")
+    assert G.Grid.of(endless).cells(F.col("signature")) is not None and K.replicate(endless, G.Grid.of(endless).cells(F.col("signature"))).count() >= 1
+
+
 def test_cogroup_hatch(spark):
     import pandas as pd
 
@@ -183,6 +249,14 @@ def test_shapefile(spark, tmp_path):
     assert both[1].attributes["L"] is None and both[2].attributes["L"] == "false"
 
 
+def test_several_shapefiles(spark, tmp_path):
+    for name, x in (("a", 0.0), ("b", 0.5)):
+        (tmp_path / f"{name}.shp").write_bytes(S.encode_shp([{"x": [x, x + 1, x + 1], "y": [0, 0, 1]}], 5)[0])
+    regions = S.shape_regions(S.read_shapes(spark, str(tmp_path)))
+    assert [r.id for r in regions.orderBy("id").collect()] == [10**16, 2 * 10**16]
+    assert rows(J.refpoint_join(regions, G.Grid.of(regions), P.mbr_intersects)) == [(10**16, 2 * 10**16)]
+
+
 def test_shape_kinds():
     import struct
 
