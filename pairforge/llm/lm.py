@@ -9,11 +9,13 @@ Texts are first written as blocks: the block's word hashes and its documents as
 is each block's distinct words and pairs as sorted packed hashes with their counts, dealt to ranges of hashes. A range adds
 up its counts and answers each block for what it asked; so a word is looked up once for a block, not for each time it
 occurs, and a frequent word or pair is one entry of each block. Probabilities' tables grow with the corpus and are never
-gathered in one place: only counts of counts reach the driver. A kept pair's terms of alpha(v) are added by one block, which
+gathered in one place: only counts of counts reach the driver. A block sends a row to each range that it has entries for,
+so there are never more rows than entries, however many blocks and ranges there are. A kept pair's terms of alpha(v) are added by one block, which
 its range names, and alpha goes back to the blocks that have v.
 
 Defined results: a null or blank text is its end token alone; a null id is in no held-out fold; without training documents
-every token is unknown with probability 1 and all scores are 0; equal rows are scored each.
+every token is unknown with probability 1 and all scores are 0; equal rows are scored each; a very long text is read
+whole, in a block of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ CUTOFF, TOP = 1, 5
 #: A history whose pairs leave less than this has nothing for backoff.
 FULL = 1e-9
 #: Tokens of a block, and entries of a range.
-BLOCK, RANGE = 2 << 20, 3 << 20
+BLOCK, RANGE = 1 << 20, 3 << 19
 BEGIN, END = (U(x) for x in mixed(np.array([0xB06, 0xE0D], U)))
 
 BLOCK_SCHEMA = "block long, tokens long, ids binary, nulls binary, held binary, ends binary, types binary, stream binary"
