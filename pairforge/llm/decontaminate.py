@@ -9,13 +9,14 @@ whatever precedes it. Windows more than half of which are placeholders are match
 Windows of template words are hashed, and the windows of the documents are joined by hash with those of the benchmark items.
 Matches of a document and an item are runs along diagonals; runs that follow each other in both, on nearby diagonals, are
 a chain and cover a part of the item. The document leaks the item if the part is large enough and the slots agree: one value
-of the item must always stand for one value of the document.
+of the item must always stand for one value of the document, and different values for different ones.
 
 The benchmark is the hash table's side and is taken in blocks of bounded size, each against all documents.
 
 Defined results: null and empty texts match nothing; items with fewer template words than a window are matched as a whole
 if they have at least `MIN_WORDS` words, and otherwise never; where most words are slots, only equal values match; repeated rows of documents
-are reported each; an item id that repeats with different texts is reported once for each text, with a null id kept as null.
+are reported each; an item id that repeats with different texts is reported once for each text, with a null id kept as null; a very long text
+is read whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -270,6 +271,7 @@ def _leak(ix: Index, readings: list[Template], runs: np.ndarray, size: int, cove
 
 def _slots(ix: Index, readings: list[Template], chain: list[list[int]]) -> tuple[bool, bool]:
     value: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
     agree = same = True
     done = 0
     for run in chain:
@@ -279,7 +281,7 @@ def _slots(ix: Index, readings: list[Template], chain: list[list[int]]) -> tuple
             a, b = run[B] + k, run[A] + k
             if items.slot[a] and items.first[a] - base >= done:
                 x, y, kind = int(items.raw[a]), int(t.raw[b]), int(items.code[a])
-                agree &= value.setdefault((kind, x), y) == y
+                agree &= value.setdefault((kind, x), y) == y and back.setdefault((kind, y), x) == x
                 same &= x == y
         done = max(done, run[P1])
     return agree, same
@@ -321,7 +323,10 @@ def _finder(shared, coverage: float):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that leak no item, with their columns. Rows whose id is null stay."""
-    column = free_name(docs, "_leak")
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(column)).distinct()
-    return docs.join(found, F.col(options.get("id_column", "doc_id")) == F.col(column), "left_anti")
+    """The rows of `docs` that leak no item, with their columns. Rows without an id go by their text."""
+    column, id_ = free_name(docs, "_leak"), F.col(options.get("id_column", "doc_id"))
+    # a text is what leaks, so rows are told apart by both
+    text = F.xxhash64(F.col(options.get("text_column", "text")).cast("string"))
+    keyed = docs.withColumn(column, F.xxhash64(F.coalesce(id_.cast("long"), text), id_.isNull()))
+    found = leaks(keyed, benchmark, **options | {"id_column": column}).select(F.col("doc_id").alias(column)).distinct()
+    return keyed.join(found, column, "left_anti").drop(column)
