@@ -2,14 +2,15 @@
 
 Documents with equal texts form a group and must stay together. Groups are laid out in the order of their texts' hash;
 the hash's leading bits name an atom, which holds whole groups. The smallest capacity that lets a greedy pass fill no
-more than k shards is found by binary search over the ordered atoms' sizes, and the greedy pass at that capacity makes
-the cuts. An atom that alone exceeds an equal share of what is left gets a shard of its own first, since any capacity
-would have to hold it and would leave other shards empty.
+more than k shards is found by binary search over the ordered atoms' sizes. Cuts that keep to that capacity are then
+made where a shard is nearest to an equal share of what is left, wherever the atoms after the cut still fit into the shards
+after it, so that the least shard is not small either. An atom that alone exceeds an equal share of what is left gets a shard of its own first, since any capacity
+would have to hold it and would leave other shards empty; the other shards are contiguous but for such atoms.
 
 The atoms are bounded (2^16 by default) whatever the size of the corpus, so the search sees one row of fixed width.
 
-Defined results: a null text counts no bytes and equals other null texts; repeated rows each get a slot; an empty table
-gives no rows.
+Defined results: a null text counts no bytes and equals other null texts; repeated rows each get a slot; rows of equal id and
+text take slots in any order; a very long text is an atom like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,9 +53,22 @@ def cut_atoms(atoms: DataFrame, shards: int) -> tuple[list[int], list[int]]:
         f" transform(array(b.lo + (b.hi - b.lo) div 2L), mid -> IF({fits}, struct(b.lo AS lo, mid AS hi), struct(mid + 1L AS lo, b.hi AS hi)))[0]), b -> b.hi)"
     )
     capacity = sizes.selectExpr(f"{search} AS capacity").first().capacity
+    # the earliest atoms from which the rest fits into one shard, into two, and so on
+    ends = (
+        "aggregate(reverse(rest), struct(CAST(array() AS array<bigint>) AS at, 0L AS fill, CAST(NULL AS bigint) AS first),"
+        f" (s, x) -> IF(s.fill + x.bytes <= {capacity}L, struct(s.at AS at, s.fill + x.bytes AS fill, x.atom AS first),"
+        " struct(concat(s.at, array(s.first)) AS at, x.bytes AS fill, x.atom AS first)), s -> s.at)"
+    )
+    fit = [None, *one.selectExpr(f"{ends} AS at").first().at]
+    # s.k shards are left, the one being filled among them, for the s.left bytes from its beginning on
+    after = f"element_at(array({', '.join(f'{x}L' for x in fit[1:]) or '0L'}), least(s.k - 1, {max(len(fit) - 1, 1)}))"
+    may = f"(s.k - 1 > {len(fit) - 1} OR x.atom >= {after})"
+    near = "abs(s.fill * s.k - s.left) <= abs((s.fill + x.bytes) * s.k - s.left)"
     cuts = (
-        "aggregate(rest, struct(CAST(array() AS array<bigint>) AS cuts, 0L AS fill),"
-        f" (s, x) -> IF(s.fill + x.bytes <= {capacity}L, struct(s.cuts AS cuts, s.fill + x.bytes AS fill), struct(concat(s.cuts, array(x.atom)) AS cuts, x.bytes AS fill)), s -> s.cuts)"
+        f"aggregate(rest, struct(CAST(array() AS array<bigint>) AS cuts, 0L AS fill, {total}L AS left, {k} AS k),"
+        f" (s, x) -> IF(s.fill > 0 AND s.k > 1 AND (s.fill + x.bytes > {capacity}L OR ({may} AND {near})),"
+        " struct(concat(s.cuts, array(x.atom)) AS cuts, x.bytes AS fill, s.left - s.fill AS left, s.k - 1 AS k),"
+        " struct(s.cuts AS cuts, s.fill + x.bytes AS fill, s.left AS left, s.k AS k)), s -> s.cuts)"
     )
     return own, one.selectExpr(f"{cuts} AS cuts").first().cuts
 
