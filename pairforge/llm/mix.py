@@ -6,11 +6,12 @@ words) are paired: a random one gives mass to the other until one of them holds
 is drawn so that no expectation moves, and mass in words is kept exactly, so a source's words end within one document of
 its target. Blocks of documents are folded independently, large documents first; what a block has left over, one document with a part of its
 mass, goes to the next level of a tree until one is left in each source. That one is taken if its source then ends nearer to
-its target: the one decision that is not drawn.
+its target. Where it ends off the target all the same, as where documents are large, one more document is settled the other
+way, the one whose words come nearest to what is missing or too much. These two decisions of a source are not drawn.
 
 Defined results: a null text has no words; a null source is a source of its own, ordered last; documents without words
-are taken 0 times; repeated rows (same id, source and text) are treated as so many documents; an empty table gives no
-rows. Draws depend on ids and texts alone, so reruns agree.
+are taken 0 times; repeated rows (same id, source and text) are treated as so many documents; a very long text is one
+document; ties go by hash; an empty table gives no rows. Draws depend on ids and texts alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -101,7 +102,22 @@ def mix_decisions(docs: DataFrame, *, id_column: str = "doc_id", text_column: st
     out = decided[0]
     for x in decided[1:]:
         out = out.unionByName(x)
-    return out
+    return _settled(out, max_repeat)
+
+
+def _settled(decisions: DataFrame, max_repeat: float) -> DataFrame:
+    """`decisions` with one of each source settled the other way, if that brings the source nearer to its target."""
+    taken = (F.col("base") * F.col("n") + F.col("more")) * F.col("_size")
+    # a row a source
+    miss = decisions.groupBy("_source").agg((F.first("target") - F.sum(taken)).alias("miss")).withColumnRenamed("_source", "source")
+    known = decisions.join(miss, decisions["_source"].eqNullSafe(F.col("source"))).drop("source")
+    way = F.when((F.col("miss") > 0) & (F.col("more") < F.col("n")) & (F.col("base") + 1 <= max_repeat), 1).when((F.col("miss") < 0) & (F.col("more") > 0), -1)
+    gain = F.abs("miss") - F.abs(F.abs("miss") - F.col("_size"))
+    tried = known.withColumns({"way": way, "gain": gain}).where("way IS NOT NULL AND gain > 0 AND _size > 0")
+    pick = tried.groupBy("_source").agg(F.max(F.struct("gain", F.xxhash64("_id", "_text").alias("h"), F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_size").alias("size"), "way")).alias("pick")).withColumnRenamed("_source", "source")
+    both = decisions.join(pick, decisions["_source"].eqNullSafe(F.col("source")), "left")
+    same = F.col("_id").eqNullSafe(F.col("pick.id")) & (F.col("_text") == F.col("pick.text")) & (F.col("_size") == F.col("pick.size"))
+    return both.withColumn("more", F.when(same, F.col("more") + F.col("pick.way")).otherwise(F.col("more"))).drop("source", "pick")
 
 
 def _rows(df: DataFrame, item: str, up: Column, carried: tuple[str, ...]) -> DataFrame:
