@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import importable, written
+from pairforge.llm.common import discard, importable, written
 from pairforge.llm.kernel import U, mixed, slices, words
 from pairforge.llm.packing import pack, unpack
 from pairforge.llm.training import remainder
@@ -378,6 +378,8 @@ def lm_scores(docs: DataFrame, *, fold: tuple[int, int] = FOLD, id_column: str =
     full = F.col("kept") > 1 - FULL
     alpha = mass.select(F.pmod("word", F.lit(ranges)).cast("int").alias("part"), "word", (F.when(full, 1 / (F.col("count") + 1)).otherwise(1 - F.col("kept")) / (1 - F.col("covered"))).alias("alpha"), full.alias("full"))
     needs = terms.where("block IS NOT NULL").select("part", "block", "hashes")
-    told = replies.unionByName(needs.groupBy("part").cogroup(alpha.groupBy("part")).applyInArrow(_tell, ANSWER))
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(counts, bits, ranges), RESULT)
+    # written, so that the sums and their shuffles are gone before the blocks travel again
+    told = written(needs.groupBy("part").cogroup(alpha.groupBy("part")).applyInArrow(_tell, ANSWER))
+    discard(terms)
+    scored = blocks.groupBy("block").cogroup(replies.unionByName(told).groupBy("block")).applyInArrow(_scores(counts, bits, ranges), RESULT)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
