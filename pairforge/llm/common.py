@@ -62,6 +62,11 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """A written table of ids, to be broadcast if they are counted and found to be at most `most`, else joined like any other."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

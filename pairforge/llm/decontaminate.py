@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import free_name, importable
+from pairforge.llm.common import bounded, free_name, importable, written
 from pairforge.llm.kernel import U, mixed, run_hashes, slices, words
 
 #: Template words of a window; the least of an item that can be matched; how much of an item must be covered.
@@ -328,5 +328,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     # a text is what leaks, so rows are told apart by both
     text = F.xxhash64(F.col(options.get("text_column", "text")).cast("string"))
     keyed = docs.withColumn(column, F.xxhash64(F.coalesce(id_.cast("long"), text), id_.isNull()))
-    found = leaks(keyed, benchmark, **options | {"id_column": column}).select(F.col("doc_id").alias(column)).distinct()
-    return keyed.join(found, column, "left_anti").drop(column)
+    found = written(leaks(keyed, benchmark, **options | {"id_column": column}).select(F.col("doc_id").alias(column)).distinct())
+    return keyed.join(bounded(found), column, "left_anti").drop(column)
