@@ -20,6 +20,7 @@ KINDS = {0: "null", 1: "point", 3: "polyline", 5: "polygon", 8: "multipoint", 11
 WITH_Z = {11, 13, 15, 18, 31}
 WITH_M = WITH_Z | {21, 23, 25, 28}
 FILE_CODE, VERSION = 9994, 1000
+NO_M = -1e39
 #: Ids of regions: shape and part share one long.
 FIRST_SHAPE, PARTS_PER_SHAPE = 10**10, 10**6
 MOST_FILES = 900
@@ -73,19 +74,38 @@ def parse_shp(data: bytes) -> Iterator[dict]:
         at += 8 + 2 * words
 
 
-def parse_dbf(data: bytes) -> Iterator[tuple[int, dict[str, str | None]]]:
-    """(record, {field: text}) of the rows that are not deleted; numbers and dates as text, `?` as null."""
-    count, head, width = struct.unpack_from("<IHH", data, 4)
+def parse_shx(data: bytes) -> list[int]:
+    """The byte offset of each record."""
+    n = (len(data) - 100) // 8
+    return [2 * words for words in struct.unpack_from(f">{2 * n}i", data, 100)[::2]]
+
+
+def parse_fields(data: bytes) -> list[tuple[str, str, int, int]]:
+    """(name, type, length, decimals) of a .dbf's fields."""
     fields, at = [], 32
     while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(data[at + 11]), data[at + 16]))
+        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(data[at + 11]), data[at + 16], data[at + 17]))
         at += 32
+    return fields
+
+
+def field_type(kind: str, length: int, decimals: int) -> str:
+    """The SQL type of a field."""
+    if kind in "NF":
+        return "bigint" if kind == "N" and not decimals and length <= 18 else "double"
+    return {"D": "date", "L": "boolean"}.get(kind, "string")
+
+
+def parse_dbf(data: bytes) -> Iterator[tuple[int, dict[str, str | None]]]:
+    """(record, {field: text}) of the rows that are not deleted; numbers and dates as text, `?` as null."""
+    count, head, width = struct.unpack_from("<IHH", data, 4)
+    fields = parse_fields(data)
     for k in range(count):
         row = data[head + k * width : head + (k + 1) * width]
         if row[:1] == b"*":
             continue
         out, at = {}, 1
-        for name, kind, length in fields:
+        for name, kind, length, _ in fields:
             text = row[at : at + length].decode("latin-1").strip(" \0")
             at += length
             if kind == "D":
@@ -123,6 +143,63 @@ def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "path string, record int, attributes map<string,string>")
 
 
+def read_fields(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, SQL type) of the fields of the .dbf files under `path`; a field of several types is a string."""
+
+    def parse(batches):
+        for pdf in batches:
+            for data in pdf["content"]:
+                yield pd.DataFrame([(k, f[0], field_type(*f[1:])) for k, f in enumerate(parse_fields(bytes(data)))], columns=["place", "name", "type"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dbf").load(path)
+    rows = files.select("content").mapInPandas(parse, "place int, name string, type string")
+    one = F.when(F.min("type") == F.max("type"), F.min("type")).otherwise("string")
+    # a row for each name of a field
+    return [(r.name, r.type) for r in rows.groupBy("name").agg(F.min("place").alias("place"), one.alias("type")).orderBy("place", "name").collect()]
+
+
+def read_table(spark: SparkSession, path: str, fields: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(path, record, attributes), the attributes a struct of typed fields; values that their type cannot hold are null.
+
+    `fields` as `read_fields` gives them saves reading the headers first.
+    """
+    fields = read_fields(spark, path) if fields is None else fields
+    typed = [F.col("attributes").getItem(name).try_cast(kind).alias(name) for name, kind in fields]
+    return read_attributes(spark, path).select("path", "record", F.struct(*typed).alias("attributes"))
+
+
+def _bytes(spark: SparkSession, path: str, at: int, n: int) -> bytes | None:
+    """`n` bytes of a file from `at` on, None without the file; by Hadoop's file systems, as Spark's own readers."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        stream.seek(at)
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def read_shape(spark: SparkSession, path: str, i: int) -> dict:
+    """Shape `i` of one .shp file, from the end if negative: by the .shx beside it, else from a scan of the file."""
+    index = path[: -len(".shp")] + ".shx"
+    if (head := _bytes(spark, index, 24, 4)) is None:
+        shapes = read_shapes(spark, path).drop("path")
+        found = shapes.where(F.col("record") == (i if i >= 0 else shapes.count() + i)).first()
+        if found is None:
+            raise IndexError(i)
+        return found.asDict()
+    count = (2 * struct.unpack(">i", head)[0] - 100) // 8
+    record = i if i >= 0 else count + i
+    if not 0 <= record < count:
+        raise IndexError(i)
+    at = 2 * struct.unpack(">i", _bytes(spark, index, 100 + 8 * record, 4))[0]
+    words = struct.unpack(">i", _bytes(spark, path, at + 4, 4))[0]
+    return {"record": record} | parse_shape(_bytes(spark, path, at + 8, 2 * words))
+
+
 def shape_records(shapes: DataFrame, attributes: DataFrame) -> DataFrame:
     """Shapes with the attribute row of the same file and record."""
     stem = lambda c: F.regexp_replace(c, r"\.[A-Za-z]+$", "")
@@ -158,27 +235,47 @@ def _box(x: list[float], y: list[float]) -> bytes:
     return struct.pack("<4d", min(x), min(y), max(x), max(y))
 
 
+def _span(values: list[float]) -> bytes:
+    return struct.pack("<2d", min(values), max(values)) if values else bytes(16)
+
+
+def _content(shape: dict, kind: int) -> bytes:
+    """One record's content; a shape without points is a null, missing z are 0 and missing m say so."""
+    x, y = shape.get("x") or [], shape.get("y") or []
+    if not x:
+        return struct.pack("<i", 0)
+    extra = [shape.get(name) or [default] * len(x) for name, has, default in (("z", WITH_Z, 0.0), ("m", WITH_M, NO_M)) if kind in has]
+    if any(len(e) != len(x) for e in extra):
+        raise ValueError("a shape needs as many z and m as points")
+    if KINDS[kind] == "point":
+        if len(x) != 1:
+            raise ValueError("a point has one place")
+        return struct.pack(f"<i{2 + len(extra)}d", kind, x[0], y[0], *(e[0] for e in extra))
+    body = struct.pack("<i", kind) + _box(x, y)
+    if KINDS[kind] == "multipoint":
+        body += struct.pack("<i", len(x))
+    else:
+        parts = shape.get("parts") or [0]
+        body += struct.pack(f"<2i{len(parts)}i", len(parts), len(x), *parts)
+    body += struct.pack(f"<{2 * len(x)}d", *(v for point in zip(x, y, strict=True) for v in point))
+    return body + b"".join(_span(e) + struct.pack(f"<{len(e)}d", *e) for e in extra)
+
+
 def encode_shp(shapes: list[dict], kind: int) -> tuple[bytes, bytes]:
-    """The bytes of a .shp and its .shx for plain points (1), multipoints (8), lines (3), polygons (5) and nulls."""
-    records, index, at = b"", b"", 100
-    xs, ys = [v for s in shapes for v in s.get("x", [])], [v for s in shapes for v in s.get("y", [])]
-    for k, s in enumerate(shapes):
-        x, y = s.get("x", []), s.get("y", [])
-        points = b"".join(struct.pack("<2d", *p) for p in zip(x, y, strict=True))
-        if not x:
-            body = struct.pack("<i", 0)
-        elif kind == 1:
-            body = struct.pack("<i", 1) + points
-        elif kind == 8:
-            body = struct.pack("<i", 8) + _box(x, y) + struct.pack("<i", len(x)) + points
-        else:
-            parts = s.get("parts") or [0]
-            body = struct.pack("<i", kind) + _box(x, y) + struct.pack(f"<2i{len(parts)}i", len(parts), len(x), *parts) + points
-        records += struct.pack(">2i", k + 1, len(body) // 2) + body
-        index += struct.pack(">2i", at // 2, len(body) // 2)
+    """The bytes of a .shp and its .shx, of any type but multipatches; z and m where the type has them."""
+    if kind not in KINDS or KINDS[kind] == "multipatch":
+        raise ValueError(f"shapes of type {kind} cannot be written")
+    records, index, at = [], [], 100
+    for k, shape in enumerate(shapes):
+        body = _content(shape, kind)
+        records.append(struct.pack(">2i", k + 1, len(body) // 2) + body)
+        index.append(struct.pack(">2i", at // 2, len(body) // 2))
         at += 8 + len(body)
-    head = lambda size: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i", VERSION, kind) + (_box(xs, ys) if xs else bytes(32)) + bytes(32)
-    return head(100 + len(records)) + records, head(100 + len(index)) + index
+    of = lambda name: [v for s in shapes for v in s.get(name) or []]
+    xs, ys = of("x"), of("y")
+    box = (_box(xs, ys) if xs else bytes(32)) + (_span(of("z")) if kind in WITH_Z else bytes(16)) + (_span(of("m")) if kind in WITH_M else bytes(16))
+    head = lambda size: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i", VERSION, kind) + box
+    return head(at) + b"".join(records), head(100 + 8 * len(index)) + b"".join(index)
 
 
 def encode_dbf(fields: list[tuple[str, str, int, int]], rows: list[dict]) -> bytes:

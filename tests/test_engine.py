@@ -220,6 +220,26 @@ def test_files(spark, tmp_path):
     assert ST.records_by_split(spark.range(10).repartition(2)).agg(F.sum("n_records")).first()[0] == 10
 
 
+def test_partition_files_and_dump(spark, edge_items, tmp_path):
+    parts, summary, dump = (str(tmp_path / x) for x in ("parts", "summary", "dump"))
+    grid = G.Grid.of(edge_items)
+    replicas = K.replicate(edge_items, grid.cells(F.col("signature")))
+    ST.write_partitions(replicas, parts)
+    files = ST.partition_files(spark, parts)
+    assert rows(files.groupBy("cell").agg(F.sum("n_records"))) == rows(K.partition_counts(replicas))
+    ST.write_summary(files, summary)
+    back = ST.read_summary(spark, summary)
+    assert back.columns == ["id", "file", "start", "length", "n_records"]
+    assert rows(back.drop("id")) == rows(files.drop("cell"))
+    moved = back.withColumn("file", F.substring_index("file", "/", -1)).withColumn("cell", T.parse_partition_id(F.col("id")).cell)
+    ST.write_summary(moved, summary + "2")
+    found = ST.read_summary(spark, summary + "2", folder="/elsewhere/").collect()
+    assert all(r.file.startswith("/elsewhere/part-") for r in found)
+    text = ST.dump_partition(spark, parts, dump)
+    assert rows(spark.read.text(dump)) == rows(text) and text.count() == replicas.count()
+    assert text.first().value.startswith("[IPS],,{")
+
+
 def test_negative_partition_ids(spark):
     df = spark.createDataFrame([(-1, -5), (7, 2**63 - 1)], "cell long, sub long")
     back = df.select(T.parse_partition_id(T.partition_id_text(F.col("cell"), F.col("sub"))).alias("p")).select("p.*")
@@ -249,6 +269,38 @@ def test_shapefile(spark, tmp_path):
     assert both[1].attributes["L"] is None and both[2].attributes["L"] == "false"
 
 
+def test_typed_attributes_and_single_shapes(spark, tmp_path):
+    shapes = [{"x": [0, 1, 1], "y": [0, 0, 1]}, {}, {"x": [5, 6, 6, 8, 9, 9], "y": [5, 5, 6, 8, 8, 9], "parts": [0, 3]}]
+    shp, shx = S.encode_shp(shapes, 5)
+    (tmp_path / "a.shp").write_bytes(shp)
+    (tmp_path / "a.shx").write_bytes(shx)
+    fields = [("ID", "N", 6, 0), ("SIZE", "N", 8, 2), ("DAY", "D", 8, 0), ("OPEN", "L", 1, 0), ("NAME", "C", 5, 0)]
+    (tmp_path / "a.dbf").write_bytes(S.encode_dbf(fields, [{"ID": 7, "SIZE": 1.25, "DAY": datetime.date(2020, 1, 2), "OPEN": True, "NAME": "x"}, {}, {"ID": -3}]))
+    (tmp_path / "b.dbf").write_bytes(S.encode_dbf([("ID", "C", 4, 0)], [{"ID": "q"}]))
+    assert S.read_fields(spark, str(tmp_path / "a.dbf")) == [("ID", "bigint"), ("SIZE", "double"), ("DAY", "date"), ("OPEN", "boolean"), ("NAME", "string")]
+    assert dict(S.read_fields(spark, str(tmp_path)))["ID"] == "string"
+    typed = [tuple(r.attributes) for r in S.read_table(spark, str(tmp_path / "a.dbf")).orderBy("record").collect()]
+    assert typed == [(7, 1.25, datetime.date(2020, 1, 2), True, "x"), (None,) * 5, (-3, None, None, None, None)]
+    at = str(tmp_path / "a.shp")
+    assert S.parse_shx(shx)[0] == 100
+    by_index = [S.read_shape(spark, at, i) for i in (0, 1, 2, -1)]
+    assert [(s["record"], s["shape_type"], list(s["x"])) for s in by_index] == [(0, 5, [0, 1, 1]), (1, 0, []), (2, 5, [5, 6, 6, 8, 9, 9]), (2, 5, [5, 6, 6, 8, 9, 9])]
+    (tmp_path / "a.shx").unlink()
+    assert [S.read_shape(spark, at, i)["parts"] for i in (2, -1)] == [[0, 3]] * 2
+    for i in (3, -4):
+        with pytest.raises(IndexError):
+            S.read_shape(spark, at, i)
+
+
+@pytest.mark.parametrize("kind", [11, 13, 15, 18, 21, 23, 25, 28])
+def test_shapes_with_z_and_m(kind):
+    n = 1 if kind in (11, 21) else 3
+    shape = {"x": [1.0, 2.0, 3.0][:n], "y": [4.0, 5.0, 4.0][:n], "z": [7.0, 8.0, 9.0][:n], "m": [0.5, 1.5, 2.5][:n]}
+    got = next(S.parse_shp(S.encode_shp([shape], kind)[0]))
+    assert (got["shape_type"], got["x"], got["y"], got["m"]) == (kind, shape["x"], shape["y"], shape["m"])
+    assert got["z"] == (shape["z"] if kind in S.WITH_Z else None)
+
+
 def test_several_shapefiles(spark, tmp_path):
     for name, x in (("a", 0.0), ("b", 0.5)):
         (tmp_path / f"{name}.shp").write_bytes(S.encode_shp([{"x": [x, x + 1, x + 1], "y": [0, 0, 1]}], 5)[0])
