@@ -9,9 +9,9 @@ one of them. Groups are the components of the links.
 
 Images of equal pixels are one class, whatever they show. Of the first images of its buckets, a class is compared with the
 one that it meets most often, so a large group of copies costs one comparison for each member. Then members of a bucket that
-are still in different components are compared, in blocks of bounded size. A bucket that holds more than `CROWD` components
-is no evidence: its descriptors meet again by keys that are one part longer, up to the whole descriptor, and only the
-last step compares however many there are.
+are still in different components are compared, in blocks of bounded size, and a block reports no more links than join its
+components. A bucket that holds more than `CROWD` components is no evidence: its descriptors meet again by keys that are one
+part longer, up to the whole descriptor, and only the last step compares however many there are.
 
 Defined results: null and undecodable images are groups of their own; flat or tiny ones have no corners, and they and such
 as have fewer corners than a consensus needs have no links but to images of equal pixels; a null id is in no group; rows
@@ -265,14 +265,26 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _compare_blocks(table: pa.Table) -> pa.Table:
-    """Links between the two sides of each block, of different components."""
+    """Links between the two sides of each block, as many as join the components that are linked: what is joined already needs no comparison."""
     images: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     sides: dict[tuple, tuple[list, list]] = {}
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while (up := above.get(c, c)) != c:
+            above[c] = c = above.get(up, up)
+        return c
+
     for r in table.to_pylist():
         images.setdefault(r["image_id"], _from_bytes(r["bits"], r["places"]))
         sides.setdefault((r["bucket"], r["i"], r["j"]), ([], []))[r["side"]].append((r["image_id"], r["c"]))
-    pairs = {(min(a, b), max(a, b)) for left, right in sides.values() for a, p in left for b, q in right if p != q}
-    return pa.Table.from_batches([_batch([p for p in sorted(pairs) if linked(images[p[0]], images[p[1]])], PAIRS)])
+    pairs = {(min((a, p), (b, q)), max((a, p), (b, q))) for left, right in sides.values() for a, p in left for b, q in right if p != q}
+    found = []
+    for (a, p), (b, q) in sorted(pairs):
+        if (p := top(p)) != (q := top(q)) and linked(images[a], images[b]):
+            above[max(p, q)] = min(p, q)
+            found.append((a, b))
+    return pa.Table.from_batches([_batch(found, PAIRS)])
 
 
 def _apart(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,14 @@ def test_recall_of_the_query(spark):
     assert np.mean([got[i] == got[j] for i, j in links]) >= 0.9
 
 
+def test_blocks_report_no_more_links_than_join():
+    """A hundred copies that were still apart give 99 links, not one for each pair."""
+    bits, places = media.describe(scene(np.random.default_rng(3)))
+    rows = [{"bucket": 1, "i": 0, "j": 0, "side": s, "image_id": k, "c": k, "bits": bits.tobytes(), "places": places.tobytes()} for k in range(100) for s in (0, 1)]
+    got = media._compare_blocks(media.pa.Table.from_pylist(rows)).to_pylist()
+    assert len(got) == 99 and {x for r in got for x in (r["a"], r["b"])} == set(range(100))
+
+
 def test_no_images(spark):
     images = spark.createDataFrame([(1, bytearray(b"x"))], "id long, data binary")
     assert media.copy_groups(images.where("id > 1"), id_column="id", image_column="data").count() == 0
