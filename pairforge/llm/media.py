@@ -10,8 +10,9 @@ one of them. Groups are the components of the links.
 Images of equal pixels are one class, whatever they show. Of the first images of its buckets, a class is compared with the
 one that it meets most often, so a large group of copies costs one comparison for each member. Then members of a bucket that
 are still in different components are compared, in blocks of bounded size, and a block reports no more links than join its
-components. A bucket that holds more than `CROWD` components is no evidence: its descriptors meet again by keys that are one
-part longer, up to the whole descriptor, and only the last step compares however many there are.
+components. A bucket that holds more than `CROWD` components waits: its descriptors meet first by keys that are one part
+longer, up to the whole descriptor, which joins most of them, and then what it still holds in different components is
+compared like any other, however many there are.
 
 Defined results: null and undecodable images are groups of their own; flat or tiny ones have no corners, and they and such
 as have fewer corners than a consensus needs have no links but to images of equal pixels; a null id is in no group; rows
@@ -40,7 +41,7 @@ RADIUS = 6
 TESTS = 256
 #: Parts of a descriptor, and how many of them the shortest key has.
 PARTS, KEY_PARTS = 8, 2
-#: Components of a bucket from which on its keys get longer; images on a side of a block; bytes compared by one call, and those of a corner.
+#: Components of a bucket from which on longer keys go first; images on a side of a block; bytes compared by one call, and those of a corner.
 CROWD, SIDE, DEAL_BYTES, CORNER_BYTES = 32, 64, 16 << 20, TESTS // 8 + 16
 #: Bits in which matching descriptors may differ; matches that must agree, and their share of the smaller image's corners.
 MATCH_BITS = 48
@@ -330,7 +331,7 @@ def copy_groups(images: DataFrame, *, id_column: str, image_column: str, to_imag
     discard(met, shared)
 
     todo, n = members.drop("first"), KEY_PARTS
-    used = [members]
+    used, waiting = [members], None
     while True:
         apart, plans = _apart(todo, found)
         last = n == PARTS
@@ -341,9 +342,16 @@ def copy_groups(images: DataFrame, *, id_column: str, image_column: str, to_imag
         if last or plans.where(F.col("parts") > crowd).isEmpty():
             break
         n += 1
+        # whoever meets by a longer key meets by the shortest, so its crowded buckets hold all that is left
+        waiting = apart.where(F.col("parts") > crowd).select(*todo.columns) if waiting is None else waiting
         crowded = apart.where(F.col("parts") > crowd).select("image_id", "spot", "start").join(classes.select("image_id", "bits"), "image_id")
         todo = written(crowded.select("image_id", "spot", "start", "bits").mapInArrow(_meet_again(n), MET).dropDuplicates(["bucket", "image_id"]))
         used.append(todo)
+    if waiting is not None:
+        apart, plans = _apart(waiting, found)
+        some = _between(apart, classes)
+        found = components(written(links.unionByName(some)))
+        used += [apart, plans, some]
     discard(*used)
 
     named = described.select("image_id", "n_corners", "pixels").join(same, "pixels", "left").withColumn("class_id", F.when(F.col("image_id").isNotNull(), F.coalesce("class_id", "image_id")))

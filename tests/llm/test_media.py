@@ -79,6 +79,36 @@ def test_recall_of_the_query(spark):
     assert np.mean([got[i] == got[j] for i, j in links]) >= 0.9
 
 
+def _marked(r, n):
+    """Pictures that share one descriptor's first two parts and nothing else of use; the first two are copies all the same."""
+    described = []
+    for k in range(n):
+        bits = r.integers(0, 256, (12, 32), dtype=np.uint8)
+        places = np.stack([r.uniform(0, 90, 12), r.uniform(0, 90, 12), np.zeros(12), np.zeros(12)], 1).astype(np.float32)
+        described.append((bits, places))
+    for b in range(12):  # of the copy every part but two of one corner has a bit changed, so that it meets its original there alone
+        copy = described[0][0][b].copy()
+        copy[0 if b else 8 :: 4] ^= 1
+        described[1][0][b] = copy
+    described[1][1][:] = described[0][1]
+    for bits, _ in described:
+        bits[0, :8] = described[0][0][0, :8]
+    return described
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """A pair that meets in one crowded bucket only, by the shortest keys only."""
+    shown = _marked(np.random.default_rng(11), 40)
+    assert [(i, j) for i in range(40) for j in range(i) if media.linked(shown[i], shown[j])] == [(1, 0)]
+    # the last picture, which comes first in the bucket, is no copy
+    ids = {k: k + 1 for k in range(40)} | {39: 0}
+    rows = [(ids[k], len(b), str(k).encode(), b.tobytes(), p.tobytes()) for k, (b, p) in enumerate(shown)]
+    monkeypatch.setattr(media, "_describer", lambda to_image: lambda batches: (media._batch([rows[v] for v in b.column(1).to_pylist()], media.DESCRIBED) for b in batches if b.num_rows))
+    images = spark.createDataFrame([(r[0], k) for k, r in enumerate(rows)], "id long, data int")
+    group = {x.image_id: x.group_id for x in media.copy_groups(images, id_column="id", image_column="data", crowd=32).collect()}
+    assert group == {i: 1 if i == 2 else i for i in range(40)} | {0: 0}
+
+
 def test_blocks_report_no_more_links_than_join():
     """A hundred copies that were still apart give 99 links, not one for each pair."""
     bits, places = media.describe(scene(np.random.default_rng(3)))
