@@ -120,6 +120,25 @@ def test_similar_groups(spark, seed):
     assert kept.columns == ["doc_id", "text", "pos", "_copy", "n"]
 
 
+def test_blocks_in_rounds(spark, monkeypatch):
+    """Many blocks of one family are copied a bounded part at a time, and no link is lost."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(24)]
+    rows = []
+    for k in range(60):  # all share a passage; each third is a near copy of another
+        own = [f"v{r.randrange(3000)}" for _ in range(12)] if k % 3 else rows[-1][1].split()[24:-1] + ["x"] if rows else []
+        rows.append((k, " ".join(base + own)))
+    sizes, compare = [], jaccard.written
+    monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", 1000)
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 1)
+    monkeypatch.setattr(jaccard, "written", lambda df: sizes.append(df.columns) or compare(df))
+    # signatures alone link nothing here, so all of the family is left to the blocks
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, shingled: pairs.where("a < 0").select("a", "b"))
+    got = jaccard.similar_groups(docs_of(spark, rows)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == groups(rows)
+    assert sizes.count(["a", "b"]) > 4
+
+
 def test_similar_groups_of_nothing(spark):
     assert jaccard.similar_groups(docs_of(spark, [(1, "a")]).where("doc_id > 1")).count() == 0
 
