@@ -26,3 +26,10 @@ def test_same_rows(spark, duck, name):
     theirs = sorted(want.select(*columns).fetchall(), key=repr)
     assert len(ours) == len(theirs)
     assert ours == theirs
+
+
+@pytest.mark.parametrize("name", ["join_refpoint", "equality_join", "join_signature", "join_clone"])
+def test_items_are_not_broadcast(spark, name):
+    """However small their files look, items don't go through the driver."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
