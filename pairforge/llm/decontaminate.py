@@ -21,6 +21,7 @@ is read whole; empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import bounded, free_name, importable, written
+from pairforge.llm.common import bounded, free_name, small_batches, written
 from pairforge.llm.kernel import U, mixed, run_hashes, slices, words
 
 #: Template words of a window; the least of an item that can be matched; how much of an item must be covered.
@@ -39,6 +40,8 @@ COVERAGE = 0.5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
+#: Bytes of texts that are read at once, and words whose kinds a worker remembers.
+TEXT_BYTES, KINDS = 1 << 18, 1 << 14
 #: Readings of a text: a capitalised word that begins a sentence as a plain word, and as a name; and all words as they are.
 READINGS = 3
 
@@ -67,6 +70,7 @@ class Template:
     exact: bool = False  #: whether the code is that of the words themselves
 
 
+@functools.lru_cache(KINDS)
 def _kind(raw: bytes) -> tuple[bytes, bool, bool, bool, bool, bool]:
     """(lower-cased bare word, is a number, may be a unit, is capitalised, ends a sentence, ends in punctuation)."""
     if raw.isalpha() and raw.islower():  # most words: ASCII letters only
@@ -296,7 +300,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE,
     n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    sc = importable(docs.sparkSession).sparkContext
+    sc = small_batches(docs.sparkSession).sparkContext
     out = None
     for b in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -310,7 +314,7 @@ def _finder(shared, coverage: float):
         ix = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for first, _, data, offsets in slices(batch.column(1)):
+            for first, _, data, offsets in slices(batch.column(1), TEXT_BYTES):
                 got = matches(ix, template(data, offsets), coverage)
                 if got:
                     columns = list(zip(*got, strict=True))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import free_name, importable
+from pairforge.llm.common import free_name, small_batches
 from pairforge.llm.training import labelled, remainder, sample
 
 PER_CLASS = 1500
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, fold:
 def score(docs: DataFrame, model: QualityModel, *, text_column: str = "text", column: str = "score") -> DataFrame:
     """`docs` with a column `score`."""
     # a bounded object: two dictionaries
-    shared = importable(docs.sparkSession).sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
